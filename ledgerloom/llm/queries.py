@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import byte_bpe, license_scan, media_columns, topk_search
+from ledgerloom.llm import byte_bpe, license_scan, media_columns, packing, topk_search, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_media_columns": media_columns.op2_media_columns,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_packing": packing.op6_packing,
     "op9_topk_search": topk_search.op9_topk_search,
 }
 
