@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import byte_bpe, license_scan, media_columns, packing, topk_search, toxicity
+from ledgerloom.llm import byte_bpe, license_scan, line_dedup, media_columns, packing, pii, quality_lm, topk_search, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_media_columns": media_columns.op2_media_columns,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
+    "op8_pii": pii.op8_pii,
     "op9_topk_search": topk_search.op9_topk_search,
+    "op10_quality_lm": quality_lm.op10_quality_lm,
 }
 
 ORACLE_SQL = {
     "op1_license_scan": license_scan.oracle(),
+    "op5_line_dedup": line_dedup.oracle(),
     "op9_topk_search": topk_search.ORACLE,
 }

@@ -26,7 +26,7 @@ LEXICON_SIZE, LEXICON_VOTERS = 3000, 8
 #: Labelled toxic rows that must hold an entry: so many, and this share of them.
 LEAST_ROWS, LEAST_SHARE = 4, 0.01
 #: How much likelier an entry must be in a toxic row than in another.
-LEAST_LIFT = 80
+LEAST_LIFT = 60
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
