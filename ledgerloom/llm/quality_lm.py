@@ -185,7 +185,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTI
     """
     docs = C.pick(docs, "doc_id", "lang", "text")
     trusted_ids = C.pick(labels, "doc_id", "quality").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    trusted = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text").join(trusted_ids, "doc_id", "left_semi")
+    trusted = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text").join(trusted_ids.hint("merge"), "doc_id", "left_semi")
     tables, leftovers = kneser_ney(count_ngrams(trusted))
     scored = C.cut(score_texts(docs, tables, leftovers, ("doc_id", "lang")))
     mean = scored.join(trusted_ids, "doc_id", "left_semi").agg((F.sum("log_sum") / F.sum("n_symbols")).alias("m")).first()["m"]
