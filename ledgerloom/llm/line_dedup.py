@@ -26,10 +26,11 @@ LEAD_WORDS, FIELDS, CONSTANT_FIELDS, VARIABLE_WORDS = 3, 4, 3, 12
 def line_keys(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, text_key, pos, leaf, template, fields) of each line with enough words."""
     lines = docs.select("doc_id", "row_key", "text_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    masked = F.regexp_replace("line", r"\S*[0-9@]\S*", "<*>")
-    words = lines.select("doc_id", "row_key", "text_key", "pos", F.filter(F.split(masked, r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") >= LEAST_WORDS)
+    # Most lines have nothing to mask, and a single blank is split without a regular expression.
+    masked = F.when(F.col("line").rlike("[0-9@]"), F.regexp_replace("line", r"[^\s0-9@]*[0-9@]\S*", "<*>")).otherwise(F.col("line"))
+    words = lines.select("doc_id", "row_key", "text_key", "pos", F.filter(F.split(F.translate(masked, "\t\x0b\f\r", "    "), " "), lambda w: w != "").alias("w")).where(F.size("w") >= LEAST_WORDS)
     cut = lambda i: F.floor(F.size("w") * F.lit(i) / F.lit(FIELDS)).cast("int")
-    fields = [F.xxhash64(F.slice("w", cut(i) + 1, cut(i + 1) - cut(i))) for i in range(FIELDS)]
+    fields = [F.hash(F.slice("w", cut(i) + 1, cut(i + 1) - cut(i))) for i in range(FIELDS)]
     leaf = F.xxhash64(F.size("w"), F.slice("w", 1, LEAD_WORDS))
     return words.select("doc_id", "row_key", "text_key", "pos", leaf.alias("leaf"), F.xxhash64("w").alias("template"), F.when(F.size("w") >= VARIABLE_WORDS, F.array(*fields)).alias("fields"))
 
@@ -80,14 +81,15 @@ def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = Fa
     follows the text.
     """
     names = docs.columns
-    own = keyed(docs.select(*(F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(names)), F.col("doc_id"), F.col("text")))
+    others = {c: f"own_{k}" for k, c in enumerate(names) if c not in ("doc_id", "text")}  # so that no name clashes
+    own = keyed(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(o) for c, o in others.items())))
     lines = C.cut(line_keys(own.select("doc_id", "row_key", "text_key", F.coalesce(F.col("text"), F.lit("")).alias("text"))))
     gone = dropped_lines(lines, least_docs).groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
     joined = own.join(gone, "row_key", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
     text: Column = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     joined = joined.withColumn("kept_text", text)
-    columns = [(F.col("kept_text") if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"own_{k}")).alias(c) for k, c in enumerate(names)]
+    columns = [(F.col("kept_text") if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(others.get(c, c))).alias(c) for c in names]
     if counts:
         columns += [F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*columns)
