@@ -30,13 +30,17 @@ WORDS = 5
 #: Similarity as a ratio of whole numbers.
 NUM, DEN = 75, 100
 #: Documents of a batch (their number within it takes 10 bits of a key), and bytes of text worked on at once.
-BATCH, DOC_BITS, SLICE_BYTES = 1000, 10, 8_000_000
+BATCH, DOC_BITS, SLICE_BYTES = 1000, 10, 1_000_000
 #: Characters of text for each counting shard.
 SHARD_CHARS = 8_000_000
 #: Sets above this size are always heavy.
 MOST_LIGHT = 10
 #: Rounds in which hubs meet their lists before all pairs between components do.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+#: Sets of so many classes are picked by a broadcast of their keys; of more, by a shuffle.
+BROADCAST_NODES = 200_000
+#: Rows of an Arrow batch while sets are compared: two whole sets come with each.
+PAIR_ROWS = 48
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -141,6 +145,20 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _thin(ids: np.ndarray) -> bytes:
+    """Ids in as few bytes each as the largest needs (at most 7); the first byte says how many."""
+    width = max(1, -(-int(ids.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _thick(blob: bytes) -> np.ndarray:
+    """The ids of ``_thin``."""
+    part = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, : blob[0]] = part
+    return out.view("<u8").ravel()
+
+
 _ROUTED = "shard int, batch long, kind int, blob binary"
 _SETS = "doc_id long, n int, key_a long, key_b long, nu binary, prefix binary, light double, heavy double"
 
@@ -223,7 +241,7 @@ def _finish_batch(rows: pd.DataFrame) -> pd.DataFrame:
         light = heavy = 0.0
         if want > 0 and b > a:
             own = ids[a:b]
-            prefix, nu = own[:want].tobytes(), np.sort(own).tobytes()
+            prefix, nu = _thin(own[:want]), _thin(np.sort(own))
             heavy = float(held[a : a + want].sum())
             light = float(sum(math.comb(b - a, least_overlap(size, m)) for m in partner_sizes(size))) if size <= MOST_LIGHT else math.inf
         out.append((int(doc_ids[k]) if known[k] else None, size, int(keys[k, 0]), int(keys[k, 1]), nu, prefix, min(light, 1e300), heavy))
@@ -235,22 +253,31 @@ def partner_sizes(n: int) -> range:
     return range(-(-NUM * n // DEN), DEN * n // NUM + 1)
 
 
-def signatures(nu: np.ndarray, prefix: np.ndarray, n: int, boundary: int) -> list[int]:
-    """Of a light set subset hashes (negative), of a heavy one and of sets near the boundary prefix shingles."""
+def signatures(nu: np.ndarray, prefix: np.ndarray, n: int, boundary: int) -> list[tuple[int, int]]:
+    """Of a light set subset hashes (negative), of a heavy one and of sets near the boundary prefix shingles.
+
+    With each comes how many elements the set has from there on, in the order of rarity.
+    """
     out = []
     if n <= boundary:
         for m in partner_sizes(n):
             if m <= boundary:
                 for subset in itertools.combinations(nu.tolist(), least_overlap(n, m)):
                     digest = hashlib.blake2b(np.array([min(n, m), max(n, m), *subset], np.uint64).tobytes(), digest_size=8).digest()
-                    out.append(int.from_bytes(digest, "little") >> 1 | -(2**63))
+                    out.append((int.from_bytes(digest, "little") >> 1 | -(2**63), n))
     if n > boundary or DEN * n >= NUM * (boundary + 1):
-        out += prefix.astype(np.int64).tolist()
+        out += zip(prefix.astype(np.int64).tolist(), range(len(nu), 0, -1))
     return out
 
 
 def overlap_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar, counted exactly over their shared shingles."""
+    pairs = C.cut(pairs)
+    needed = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    if needed.count() <= BROADCAST_NODES:
+        needed = F.broadcast(needed)
+    sets = sets.select("node", "n", "nu").join(needed, "node", "left_semi")
+    C.small_batches(pairs.sparkSession, PAIR_ROWS)
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("nu").alias("nu_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("nu").alias("nu_b"))
 
@@ -258,7 +285,7 @@ def overlap_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for f in frames:
             keep = []
             for n_a, n_b, x, y in zip(f.n_a, f.n_b, f.nu_a, f.nu_b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _thick(x), _thick(y)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -300,25 +327,34 @@ def link_classes(sets: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            out = [(s, node, n) for node, n, nu, prefix in zip(f.node, f.n, f.nu, f.prefix) for s in signatures(np.frombuffer(nu, np.uint64), np.frombuffer(prefix, np.uint64), n, boundary)]
-            yield pd.DataFrame(out, columns=["sig", "node", "n"])
+            out = [(s, node, n, rest) for node, n, nu, prefix in zip(f.node, f.n, f.nu, f.prefix) for s, rest in signatures(_thick(nu), _thick(prefix), n, boundary)]
+            yield pd.DataFrame(out, columns=["sig", "node", "n", "rest"])
 
-    every = sets.select("node", "n", "nu", "prefix").mapInPandas(run, "sig long, node long, n int")
+    C.small_batches(sets.sparkSession, 10 * PAIR_ROWS)
+    every = sets.select("node", "n", "nu", "prefix").mapInPandas(run, "sig long, node long, n int, rest int")
     lists = C.cut(every)
     shared = lists.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
     lists = C.cut(lists.join(shared, "sig", "left_semi"))
     comp = C.cut(lists.select("node").distinct().withColumn("comp", F.col("node")))
-    fits = lambda a, b: F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+
+    def possible(n, rest, other_n, other_rest):
+        """What two sets have from their first common shingle on must hold all that they would share."""
+        near = F.least(n, other_n) * DEN >= F.greatest(n, other_n) * NUM
+        return near & (F.least(rest, other_rest).cast("long") * (NUM + DEN) >= (F.col(n).cast("long") + F.col(other_n)) * NUM)
+
     for step in itertools.count():
-        placed = lists.join(comp, "node")
-        split = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "comp")).alias("hub")).where("low <> high")
+        sized = comp.join(comp.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+        placed = lists.join(sized, "node")
+        # Hubs are the sets with most left of them, and by turns the largest component's.
+        order = F.struct(-F.col("size"), F.xxhash64("node", F.lit(step))) if step % 2 else F.struct(-F.floor(F.col("rest") * 64 / F.col("n")), F.xxhash64("node", F.lit(step)))
+        split = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(order.alias("h"), "node", "n", "rest", "comp")).alias("hub")).where("low <> high")
         if step < HUB_ROUNDS:
-            met = placed.join(split.select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")), "sig").where((F.col("comp") != F.col("hub_comp")) & fits(F.col("n"), F.col("hub_n")))
+            met = placed.join(split.select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest"), F.col("hub.comp").alias("hub_comp")), "sig").where((F.col("comp") != F.col("hub_comp")) & possible("n", "rest", "hub_n", "hub_rest"))
             pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
             open_lists = C.cut(placed.join(split.select("sig"), "sig", "left_semi"))
-            other = open_lists.select("sig", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("comp").alias("o_comp"))
-            pairs = open_lists.join(other, "sig").where((F.col("node") < F.col("o")) & (F.col("comp") != F.col("o_comp")) & fits(F.col("n"), F.col("o_n"))).select(F.col("node").alias("a"), F.col("o").alias("b"))
+            other = open_lists.select("sig", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("rest").alias("o_rest"), F.col("comp").alias("o_comp"))
+            pairs = open_lists.join(other, "sig").where((F.col("node") < F.col("o")) & (F.col("comp") != F.col("o_comp")) & possible("n", "rest", "o_n", "o_rest")).select(F.col("node").alias("a"), F.col("o").alias("b"))
         links = C.cut(overlap_links(pairs.distinct(), sets))
         comp = _merged(comp, links)
         if step >= HUB_ROUNDS:
