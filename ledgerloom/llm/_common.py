@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-import os
+import re
 import tempfile
 
 import pyarrow as pa
@@ -63,42 +63,69 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
-def chunks_of(text: str) -> list[str]:
-    """Cut ``text`` before each blank that a non-blank follows.
+#: A blank that white space follows; without any, a text can be cut at each blank.
+_ODD_BLANK = re.compile(r" \s")
+
+
+def chunks_of(text: str) -> tuple[str, list[str]]:
+    """``text`` cut before each blank that a non-blank follows: its head, and what comes after each such blank.
 
     The public split pattern always starts a new match there, so chunks can be encoded
     apart and their ids concatenated. Blanks before white space stay in the chunk at hand.
     """
     parts = text.split(" ")
+    if not _ODD_BLANK.search(text):
+        return parts[0], parts[1:]
     out = [parts[0]]
     for part in parts[1:]:
         if part and not part[0].isspace():
-            out.append(" " + part)
+            out.append(part)
         else:
             out[-1] += " " + part
-    return out
+    return out[0], out[1:]
 
 
-class ChunkCache(dict):
-    """Chunk -> little-endian unsigned 32-bit ids. Cleared when it reaches ``limit`` entries."""
+class ChunkCache:
+    """Chunk (without its blank) -> little-endian unsigned 32-bit ids, for texts cut by ``chunks_of``.
+
+    ``encode_many`` gives the ids of whole chunks. Two generations of at most about ``limit``
+    entries are held: what is met again moves to the younger one, the older one is dropped.
+    """
 
-    def __init__(self, encode_many, limit: int = 400_000):
-        super().__init__()
+    def __init__(self, encode_many, limit: int = 250_000):
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.encode_many, self.limit = encode_many, limit
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; equal chunks of the batch are encoded once."""
-        cut_up = [chunks_of(t) for t in texts]
-        if len(self) > self.limit:
-            self.clear()
-        missing = set()
-        for parts in cut_up:
-            missing.update(p for p in parts if p not in self)
-        if missing:
-            missing = sorted(missing)
-            self.update(zip(missing, self.encode_many(missing)))
-        get = self.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut_up]
+        """The ids of each text; equal chunks are encoded once. Long lists are worked on in parts."""
+        out, a = [], 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b]) < 2_000_000):
+                size, b = size + len(texts[b]), b + 1
+            out += self._ids(texts[a:b])
+            a = b
+        return out
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        cut_up = list(map(chunks_of, texts))
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing: set[str] = set()
+        for _, parts in cut_up:
+            missing.update(set(parts).difference(known))
+        again = [c for c in missing if c in older]
+        known.update((c, older[c]) for c in again)
+        missing.difference_update(again)
+        new = list(missing)
+        heads = list({h for h, _ in cut_up if h})
+        made = self.encode_many([" " + c for c in new] + heads)
+        known.update(zip(new, made))
+        first = dict(zip(heads, made[len(new) :]))
+        get = known.__getitem__
+        return [first.get(h, b"") + b"".join(map(get, parts)) for h, parts in cut_up]
 
 
 @functools.cache

@@ -8,8 +8,10 @@ of pairs, and rows without a mergeable pair leave the matrix.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import heapq
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm import _common as C
 
 _NONE = np.int32(2**31 - 1)
+#: Marks that the split pattern takes alone after a word.
+_MARKS = frozenset(".,;:!?")
 _WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 
 
@@ -63,41 +67,73 @@ class PairTable:
         return out.reshape(shape)
 
 
+def _visible_bytes() -> dict[str, int]:
+    """The characters that stand for bytes in JSON vocabularies: printable ones themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
 class ByteBPE:
-    """A vocabulary of byte strings with ranks. ``path`` is a rank file, ``pattern`` splits text."""
+    """A vocabulary of byte strings whose ids are ranks, the pairs that merge, and a pattern that splits text.
 
-    def __init__(self, path: str, pattern: str):
+    A piece that is itself in the vocabulary is that id; ``limit`` bounds the pieces remembered.
+    """
+
+    def __init__(self, vocab: dict[bytes, int], pairs: list[tuple[int, int, int]], pattern: str, limit: int = 200_000):
         import regex
 
-        with open(path, "rb") as f:
-            self.vocab = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f.read().split(b"\n")))}
+        self.vocab, self.limit = vocab, limit
         self.split = regex.compile(pattern).findall
-        self.bytes_of = {i: b for b, i in self.vocab.items()}
-        pairs = [(self.vocab[t[:k]], self.vocab[t[k:]], r) for t, r in self.vocab.items() for k in range(1, len(t)) if t[:k] in self.vocab and t[k:] in self.vocab]
+        self.bytes_of = {i: b for b, i in vocab.items()}
         self.pairs = PairTable(*(np.array(x, np.int32) for x in (zip(*pairs) if pairs else ((), (), ()))))
-        self.byte_id = np.array([self.vocab[bytes([b])] for b in range(256)], np.int32)
+        self.byte_id = np.array([vocab[bytes([b])] for b in range(256)], np.int32)
+        self.known: dict[str, bytes] = {}
+        self.mark_ids = {m: vocab[m.encode()].to_bytes(4, "little") for m in _MARKS}
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece, merged apart from the others."""
+    @classmethod
+    def from_ranks(cls, path: str, pattern: str) -> ByteBPE:
+        """From a rank file: any two neighbours whose bytes together are in the vocabulary merge."""
+        with open(path, "rb") as f:
+            vocab = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f.read().split(b"\n")))}
+        pairs = [(vocab[t[:k]], vocab[t[k:]], r) for t, r in vocab.items() for k in range(1, len(t)) if t[:k] in vocab and t[k:] in vocab]
+        return cls(vocab, pairs, pattern)
+
+    @classmethod
+    def from_json(cls, path: str, pattern: str) -> ByteBPE:
+        """From a JSON vocabulary with a list of merges, whose ids follow the merges' order."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte = _visible_bytes()
+        as_bytes = lambda token: bytes(byte[c] for c in token)
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        vocab = {as_bytes(t): i for t, i in model["vocab"].items() if all(c in byte for c in t) and (len(t) == 1 or not t.startswith("<|"))}
+        pairs = [(vocab[as_bytes(a)], vocab[as_bytes(b)], vocab[as_bytes(a + b)]) for a, b in merges]
+        if any(x[2] >= y[2] for x, y in zip(pairs, pairs[1:])):
+            raise ValueError("ids don't follow the order of merges")
+        return cls(vocab, pairs, pattern)
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each piece, merged apart from the others."""
         out: list = [None] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
             whole = self.vocab.get(piece)
             if whole is not None:
-                out[k] = np.array([whole], np.int32)
+                out[k] = whole.to_bytes(4, "little")
             elif len(piece) > _WIDTHS[-1]:
                 out[k] = self._encode_long(piece)
             else:
-                by_width.setdefault(next(w for w in _WIDTHS if len(piece) <= w), []).append(k)
+                by_width.setdefault(_WIDTHS[bisect.bisect_left(_WIDTHS, len(piece))], []).append(k)
         for width, rows in by_width.items():
-            step = max(1, 2_000_000 // width)
+            step = max(1, 1_000_000 // width)
             for a in range(0, len(rows), step):
                 part = rows[a : a + step]
                 for k, ids in zip(part, self._encode_matrix([pieces[k] for k in part], width)):
                     out[k] = ids
         return out
 
-    def _encode_matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+    def _encode_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         n = len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, n)
         inside = np.arange(width) < size[:, None]
@@ -113,8 +149,10 @@ class ByteBPE:
             live = best != _NONE
             if not live.all():
                 done = ~live
-                for r, ids, k in zip(row[done], tokens[done], size[done]):
-                    out[r] = ids[:k]
+                flat = tokens[done][np.arange(tokens.shape[1]) < size[done][:, None]].astype("<u4").tobytes()
+                ends = (4 * np.cumsum(size[done])).tolist()
+                for r, a, b in zip(row[done].tolist(), [0, *ends], ends):
+                    out[r] = flat[a:b]
                 row, tokens, ranks, size, at, best = (x[live] for x in (row, tokens, ranks, size, at, best))
                 if not len(row):
                     break
@@ -134,7 +172,7 @@ class ByteBPE:
             ranks[column >= size[:, None]] = _NONE
         return out
 
-    def _encode_long(self, piece: bytes) -> np.ndarray:
+    def _encode_long(self, piece: bytes) -> bytes:
         """The same merges for one very long piece, by a heap over a linked list."""
         ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
@@ -144,8 +182,8 @@ class ByteBPE:
         heapq.heapify(heap)
 
         def push(i: int, j: int) -> None:
-            r = self.vocab.get(self.bytes_of[ids[i]] + self.bytes_of[ids[j]])
-            if r is not None:
+            r = int(self.pairs.get(np.array([ids[i]], np.int32), np.array([ids[j]], np.int32))[0])
+            if r != _NONE:
                 heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
         while heap:
@@ -160,14 +198,45 @@ class ByteBPE:
                 push(i, after[i])
             if before[i] >= 0:
                 push(before[i], i)
-        return np.array([x for x in ids if x >= 0], np.int32)
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each chunk."""
-        split = [[m.encode() for m in self.split(c)] for c in chunks]
-        distinct = sorted({p for parts in split for p in parts})
-        ids = {p: x.astype("<u4").tobytes() for p, x in zip(distinct, self.encode_pieces(distinct))}
-        return [b"".join(map(ids.__getitem__, parts)) for parts in split]
+        """Little-endian unsigned 32-bit ids of each chunk.
+
+        The commonest forms (a word, a word and a mark) are seen at a glance; the pattern splits the others.
+        """
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known, marks = self.known, self.mark_ids
+        out: list = [None] * len(chunks)
+        todo, pieces, tails, odd = [], [], [], []
+        for k, chunk in enumerate(chunks):
+            word = chunk[1:] if chunk[:1] == " " else chunk
+            if word.isalpha():
+                piece, tail = chunk, b""
+            elif word[-1:] in marks and word[:-1].isalpha():
+                piece, tail = chunk[:-1], marks[word[-1]]
+            else:
+                odd.append(k)
+                continue
+            got = known.get(piece)
+            if got is not None:
+                out[k] = got + tail
+            else:
+                todo.append(k)
+                pieces.append(piece)
+                tails.append(tail)
+        made = self.encode_pieces([p.encode() for p in pieces])
+        known.update(zip(pieces, made))
+        for k, ids, tail in zip(todo, made, tails):
+            out[k] = ids + tail
+        if odd:
+            split = [self.split(chunks[k]) for k in odd]
+            new = list({p for parts in split for p in parts}.difference(known))
+            known.update(zip(new, self.encode_pieces([p.encode() for p in new])))
+            for k, parts in zip(odd, split):
+                out[k] = b"".join(map(known.__getitem__, parts))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of little-endian unsigned 32-bit ids."""
@@ -176,7 +245,7 @@ class ByteBPE:
 
 class _Codec:
     def __init__(self, path: str, pattern: str):
-        self.bpe = ByteBPE(path, pattern)
+        self.bpe = ByteBPE.from_ranks(path, pattern)
         self.cache = C.ChunkCache(self.bpe.encode_chunks)
 
 

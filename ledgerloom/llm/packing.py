@@ -9,7 +9,6 @@ on the capacity, not on the number of documents.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _common as C
+from ledgerloom.llm.byte_bpe import ByteBPE
 
 #: Rounds of multiplicative weights and their step.
 ROUNDS, STEP = 150, 0.25
@@ -138,16 +138,23 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[t
 
 
 class _Tokenizer:
+    """Ids of whole texts by a JSON vocabulary: its merges in order, run by a compiled library.
+
+    What the library gives up on is encoded by the matrices of ``byte_bpe``.
+    """
+
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
-        self.cache = C.ChunkCache(self.encode)
+        self.own = ByteBPE.from_json(path, public_tokenizers.PATTERN)
+        self.fast = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.own.vocab, special_tokens={})
 
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch(chunks, add_special_tokens=False)]
+    def ids(self, text: str) -> bytes:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except Exception:  # noqa: BLE001  its pattern engine has limits of its own
+            return C.ChunkCache(self.own.encode_chunks).ids([text])[0]
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
@@ -164,8 +171,8 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int, keep_i
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.cache.ids([t or "" for t in batch.column("text").to_pylist()])):
-                ids += end
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids = tokenizer.ids(text or "") + end
                 total = len(ids) // 4
                 first = total % capacity or capacity
                 cuts = [0, *range(first, total + 1, capacity)] if total > capacity else [0, total]
