@@ -92,17 +92,20 @@ class Parsed:
     plan: object = None
 
 
-def _children(jvm, node) -> list:
+def _seq(seq) -> list:
+    """A sequence of the JVM as a list."""
+    it, out = seq.iterator(), []
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+def _children(node) -> list:
     """Subplans of a node: its children, common table expressions and subqueries in expressions."""
-    found = []
-    for seq in (node.children(), node.innerChildren()):
-        it = seq.iterator()
-        while it.hasNext():
-            found.append(it.next())
-    return found
+    return _seq(node.children()) + _seq(node.innerChildren())
 
 
-def _walk(jvm, node, parsed: Parsed, ctes: set[str], seen: set[int]) -> None:
+def _walk(node, parsed: Parsed, ctes: set[str]) -> None:
     kind = node.getClass().getSimpleName()
     if kind == "UnresolvedRelation":
         parts = list(_seq(node.multipartIdentifier()))
@@ -114,34 +117,20 @@ def _walk(jvm, node, parsed: Parsed, ctes: set[str], seen: set[int]) -> None:
         name = ".".join(_seq(node.name())).lower()
         if name not in TABLE_FUNCTIONS:
             raise Refused(f"table function {name} isn't allowed")
-    elif kind in ("UnresolvedTVFAliases",):
-        pass
     elif kind == "UnresolvedWith":
-        it = node.cteRelations().iterator()
-        while it.hasNext():
-            pair = it.next()
-            _walk(jvm, pair._2(), parsed, ctes, seen)
+        for pair in _seq(node.cteRelations()):
+            _walk(pair._2(), parsed, ctes)
             ctes = ctes | {pair._1().lower()}
-    it = node.expressions().iterator() if hasattr(node, "expressions") else None
-    while it is not None and it.hasNext():
-        _walk_expression(jvm, it.next(), parsed, ctes, seen)
-    for child in _children(jvm, node):
-        if child.getClass().getSimpleName() != "SubqueryAlias" or True:
-            _walk_any(jvm, child, parsed, ctes, seen)
-
-
-def _seq(seq) -> list:
-    it, out = seq.iterator(), []
-    while it.hasNext():
-        out.append(it.next())
-    return out
-
-
-def _walk_any(jvm, node, parsed, ctes, seen) -> None:
-    _walk(jvm, node, parsed, ctes, seen) if hasattr(node, "expressions") else _walk_expression(jvm, node, parsed, ctes, seen)
+    for e in _seq(node.expressions()):
+        _walk_expression(e, parsed, ctes)
+    for child in _children(node):
+        if hasattr(child, "expressions"):
+            _walk(child, parsed, ctes)
+        else:
+            _walk_expression(child, parsed, ctes)
 
 
-def _walk_expression(jvm, e, parsed: Parsed, ctes: set[str], seen: set[int]) -> None:
+def _walk_expression(e, parsed: Parsed, ctes: set[str]) -> None:
     kind = e.getClass().getSimpleName()
     if kind == "UnresolvedFunction":
         name = ".".join(_seq(e.nameParts())).lower()
@@ -149,12 +138,12 @@ def _walk_expression(jvm, e, parsed: Parsed, ctes: set[str], seen: set[int]) ->
         if name in DENIED or "." in name:
             raise Refused(f"function {name} isn't allowed")
     for child in _seq(e.children()):
-        _walk_expression(jvm, child, parsed, ctes, seen)
+        _walk_expression(child, parsed, ctes)
     if kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression", "UnresolvedTableArgPlanId"):
         if kind == "InSubquery":
-            _walk_expression(jvm, e.query(), parsed, ctes, seen)
+            _walk_expression(e.query(), parsed, ctes)
         elif hasattr(e, "plan"):
-            _walk(jvm, e.plan(), parsed, ctes, seen)
+            _walk(e.plan(), parsed, ctes)
 
 
 def parse(spark: SparkSession, sql: str) -> Parsed:
@@ -175,7 +164,7 @@ def parse(spark: SparkSession, sql: str) -> Parsed:
     name = plan.getClass().getName()
     if ".command." in name or "Command" in plan.getClass().getSimpleName() or plan.getClass().getSimpleName().startswith(("Insert", "Create", "Drop", "Replace", "Set", "Alter", "Cache", "Refresh", "Show", "Describe", "Explain", "Delete", "Update", "Merge", "Load")):
         raise Refused("only SELECT and WITH are allowed")
-    _walk(spark._jvm, plan, parsed, set(), set())
+    _walk(plan, parsed, set())
     return parsed
 
 
