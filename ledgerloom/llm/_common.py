@@ -38,9 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again: lineage ends here."""
+def cut(df: DataFrame, per_core: int | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read again: lineage ends here.
+
+    ``per_core`` bounds the files by the cluster's cores: 1 for tables of few bytes for each
+    document, more for larger ones. Hundreds of tiny files cost more than they hold.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if per_core:
+        df = df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
     return df.checkpoint(eager=True)
 
 

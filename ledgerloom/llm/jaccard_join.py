@@ -272,8 +272,8 @@ def signatures(nu: np.ndarray, prefix: np.ndarray, n: int, boundary: int) -> lis
 
 def overlap_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar, counted exactly over their shared shingles."""
-    pairs = C.cut(pairs)
-    needed = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    pairs = C.cut(pairs, per_core=1)
+    needed = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), per_core=1)
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
     sets = sets.select("node", "n", "nu").join(needed, "node", "left_semi")
@@ -298,25 +298,30 @@ def overlap_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that edges (a, b) lead to, by alternating stars."""
-    now = C.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def state(df: DataFrame):
+        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
+    now = C.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), per_core=1)
+    before = state(now)
     while True:
-        before = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = C.cut(small)
-        after = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = C.cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), per_core=1)
+        after = state(now)
         if before == after:
             return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        before = after
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after the links (a, b) between nodes are added."""
     ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
     new = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return C.cut(comp.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    return C.cut(comp.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), per_core=1)
 
 
 def link_classes(sets: DataFrame) -> DataFrame:
@@ -332,10 +337,10 @@ def link_classes(sets: DataFrame) -> DataFrame:
 
     C.small_batches(sets.sparkSession, 10 * PAIR_ROWS)
     every = sets.select("node", "n", "nu", "prefix").mapInPandas(run, "sig long, node long, n int, rest int")
-    lists = C.cut(every)
+    lists = C.cut(every, per_core=1)
     shared = lists.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-    lists = C.cut(lists.join(shared, "sig", "left_semi"))
-    comp = C.cut(lists.select("node").distinct().withColumn("comp", F.col("node")))
+    lists = C.cut(lists.join(shared, "sig", "left_semi"), per_core=1)
+    comp = C.cut(lists.select("node").distinct().withColumn("comp", F.col("node")), per_core=1)
 
     def possible(n, rest, other_n, other_rest):
         """What two sets have from their first common shingle on must hold all that they would share."""
@@ -352,10 +357,10 @@ def link_classes(sets: DataFrame) -> DataFrame:
             met = placed.join(split.select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest"), F.col("hub.comp").alias("hub_comp")), "sig").where((F.col("comp") != F.col("hub_comp")) & possible("n", "rest", "hub_n", "hub_rest"))
             pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            open_lists = C.cut(placed.join(split.select("sig"), "sig", "left_semi"))
+            open_lists = C.cut(placed.join(split.select("sig"), "sig", "left_semi"), per_core=1)
             other = open_lists.select("sig", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("rest").alias("o_rest"), F.col("comp").alias("o_comp"))
             pairs = open_lists.join(other, "sig").where((F.col("node") < F.col("o")) & (F.col("comp") != F.col("o_comp")) & possible("n", "rest", "o_n", "o_rest")).select(F.col("node").alias("a"), F.col("o").alias("b"))
-        links = C.cut(overlap_links(pairs.distinct(), sets))
+        links = C.cut(overlap_links(pairs.distinct(), sets), per_core=1)
         comp = _merged(comp, links)
         if step >= HUB_ROUNDS:
             return comp
@@ -369,7 +374,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     shards = max(8, -(-int(chars) // SHARD_CHARS))
     counted = _route(docs, shards).groupBy("shard").applyInPandas(_count_shard, _ROUTED)
-    return C.cut(counted.groupBy("batch").applyInPandas(_finish_batch, _SETS))
+    return C.cut(counted.groupBy("batch").applyInPandas(_finish_batch, _SETS), per_core=8)
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -384,7 +389,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     rows = shingle_sets(docs).withColumn("node", F.when(F.col("n") > 0, F.xxhash64("key_a", "key_b", "n")))
     # A null prefix means that the set has a partner only among its equals.
     sets = rows.where("nu IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("nu").alias("nu"), F.first("prefix").alias("prefix"), F.first("light").alias("light"), F.first("heavy").alias("heavy"))
-    sets = C.cut(sets)
+    sets = C.cut(sets, per_core=8)
     comp = link_classes(sets)
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
     placed = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -396,7 +401,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with one row of each component: that of the smallest doc_id.
 
-    Rows without shingles and rows without doc_id stay.
+    Rows without shingles and rows without doc_id stay, and so do all rows of the doc_id that is kept.
     """
     found = similar_components(docs).where("doc_id IS NOT NULL AND n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti")

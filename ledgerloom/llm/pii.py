@@ -117,7 +117,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate), distinct throughout, for distinct ``values`` (kind, value)."""
-    values = C.cut(values)
+    values = C.cut(values, per_core=1)
     originals = values.select(F.col("value").alias("surrogate")).distinct()
     done, rest = None, values.withColumn("attempt", F.lit(0))
     for _ in range(ROUNDS):
@@ -126,8 +126,8 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
         winner = made.groupBy("surrogate").agg(F.min("value").alias("value")).join(originals, "surrogate", "left_anti")
         if done is not None:
             winner = winner.join(done.select("surrogate"), "surrogate", "left_anti")
-        settled = C.cut(made.join(winner, ["surrogate", "value"], "left_semi").select("kind", "value", "surrogate"))
-        rest = C.cut(rest.join(settled.select("value"), "value", "left_anti").withColumn("attempt", F.col("attempt") + 1))
+        settled = C.cut(made.join(winner, ["surrogate", "value"], "left_semi").select("kind", "value", "surrogate"), per_core=1)
+        rest = C.cut(rest.join(settled.select("value"), "value", "left_anti").withColumn("attempt", F.col("attempt") + 1), per_core=1)
         done = settled if done is None else done.unionByName(settled)
         if rest.isEmpty():
             return done

@@ -110,7 +110,7 @@ def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
 
     Below the highest order an n-gram counts by how many symbols it was seen after.
     """
-    levels = [C.cut(counts)]
+    levels = [C.cut(counts, per_core=1)]
     for k in range(ORDER - 1, 0, -1):
         mask = (1 << (BITS * k)) - 1
         levels.append(levels[-1].groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.count("*").alias("n")))
@@ -127,7 +127,7 @@ def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         else:
             lower = probabilities[-1].select(F.col("code").alias("suffix"), F.col("p").alias("q"))
             p = joined.withColumn("suffix", F.col("code").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(lower, "suffix").select("code", (own + F.col("gamma") * F.col("q")).alias("p"))
-        probabilities.append(C.cut(p))
+        probabilities.append(C.cut(p, per_core=1))
         leftovers.append(context.select("context", "gamma"))
     return probabilities, leftovers
 

@@ -152,7 +152,7 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the labelled rows that aren't held out; without any, the fixed lexicon decides."""
     C.small_batches(docs.sparkSession)
-    sample = C.cut(training_rows(labels, sample_rows))
+    sample = C.cut(training_rows(labels, sample_rows), per_core=1)
     texts = C.pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
 
     def count(batches):
