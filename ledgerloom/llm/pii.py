@@ -4,6 +4,7 @@ Each distinct entity gets one surrogate for the whole corpus, made from a keyed
 it has the type and format of what it stands for: digits for digits, case for case, valid
 check digits and octets, names of the same gender and script. Rounds of collision checks make
 sure that no two entities share a surrogate and that none is itself an entity of the corpus.
+Where a format is used up, or has nothing to scramble, it is lengthened until all are settled.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ NAMES = {
 }
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 _CONSONANTS = {"latin": "bdklmnrst", "cyrillic": "бдклмнрст"}
-#: Rounds of collision checks; each leaves about the collisions' square.
+#: Rounds of collision checks in an entity's own format, each leaves about the collisions' square; what is left then takes a longer one.
 ROUNDS = 12
 
 
@@ -99,6 +100,18 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     card = _with_check_digit(F.concat(F.substring(value, 1, 1), _scrambled(F.regexp_replace(value, "^.", ""), seed)))
     title = F.regexp_extract(value, r"^\S+ ", 0)
 
+    # Beyond the rounds each attempt adds some 40 bits, so that every entity settles however full its format is.
+    late = F.greatest(attempt - ROUNDS + 1, F.lit(0))
+    longer = lambda letters, width: F.when(late > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(late, F.lit(1)) * width), lambda i: _at(letters, _below(nth(i + 2000), len(letters)))), "")).otherwise("")
+    letters, capitals, digits = longer("abcdefghijklmnopqrstuvwxyz", 9), longer("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 9), longer("0123456789", 12)
+    wide = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_below(nth(i), 155) + 100).cast("string")), ".")
+    groups = F.concat(F.lit("2001:db8"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit(":"), F.substring(nth(i), 1, 4))), ""))
+    ip = F.when(late == 0, ip).when(late <= ROUNDS, wide).otherwise(groups)
+    email, phone = F.concat(letters, email), F.concat(phone, F.when(late > 0, " x").otherwise(""), digits)
+    access, password, secret = F.concat(access, capitals), F.concat(password, letters), F.concat(_scrambled(value, seed, True), longer("0123456789abcdef", 10))
+    card = F.when(late == 0, card).otherwise(_with_check_digit(F.concat(card, digits)))
+    scrambled = F.concat(scrambled, F.when((late > 0) & (kind == "ssn"), F.concat(F.lit("-"), digits)).otherwise(letters))
+
     def name(gender: str) -> Column:
         def of(script: str) -> Column:
             names = NAMES[gender, script]
@@ -111,7 +124,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "access_key", access).when(kind == "password", password)
-        .when(kind == "secret", _scrambled(value, seed, True)).when(kind == "card", card).when(kind == "person_m", name("person_m")).when(kind == "person_f", name("person_f")).otherwise(scrambled)
+        .when(kind == "secret", secret).when(kind == "card", card).when(kind == "person_m", name("person_m")).when(kind == "person_f", name("person_f")).otherwise(scrambled)
     )
 
 
@@ -119,8 +132,10 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate), distinct throughout, for distinct ``values`` (kind, value)."""
     values = C.cut(values, per_core=1)
     originals = values.select(F.col("value").alias("surrogate")).distinct()
-    done, rest = None, values.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
+    # A password of marks or of letters beyond ASCII has nothing to scramble.
+    fixed = (F.col("kind") == "password") & ~F.col("value").rlike("=.*[A-Za-z0-9]")
+    done, rest = None, values.withColumn("attempt", F.when(fixed, ROUNDS).otherwise(0))
+    while True:
         made = rest.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         # The first entity of a surrogate keeps it, unless the corpus or an earlier round holds it.
         winner = made.groupBy("surrogate").agg(F.min("value").alias("value")).join(originals, "surrogate", "left_anti")
@@ -131,7 +146,6 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
         done = settled if done is None else done.unionByName(settled)
         if rest.isEmpty():
             return done
-    raise RuntimeError("some entities still share a surrogate; give them a longer format")
 
 
 def replace_entities(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:

@@ -249,6 +249,17 @@ def test_pruning_keeps_the_best():
     assert counts["coordinate"] + counts["length"] > 0
 
 
+def test_full_formats_settle(spark):
+    """Masked passwords, which have nothing to scramble, and more short addresses than half of their space."""
+    texts = ["password=******** and password=********", "password=éééééé!", "password=********"]
+    rows = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs(spark, texts), "k").collect()}
+    assert "****** " not in rows[0] and rows[0] == f"{rows[2]} and {rows[2]}" and rows[1] != texts[1] and rows[1] != rows[2]
+    space = [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 6)]
+    made = [r["surrogate"] for r in pii.surrogates(spark.createDataFrame(space, "kind string, value string"), "k").collect()]
+    assert len(made) == len(space) == len(set(made)) and not set(made) & {v for _, v in space}
+    assert all(len(m.split(".")) == 4 and all(0 < int(x) < 256 for x in m.split(".")) for m in made)
+
+
 # -- quality model
 
 
