@@ -14,22 +14,40 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import _common as C
 
+#: Titles of men, of women and of either; a name of one part (of a compound, after a particle or not), and a full name.
+MEN = r"Mr\.?|Mister|Sir|Herrn?|Señor|Sr\.|Monsieur|г-н"
+WOMEN = r"Mrs\.?|Ms\.?|Miss|Lady|Frau|Fräulein|Señora|Señorita|Sra\.|Madame|Mademoiselle|Mme\.?|Mlle\.?|г-жа"
+EITHER = r"Dr\.?|Prof\.?|Doctor|Professor|Mx\.?|Docteur|Professeur|Доктор|Профессор"
+NAME = r"(?:[ODLM]['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
+FULL = rf"(?:[A-Z]\. ?){{0,3}}{NAME}(?:-{NAME})*(?:(?: (?:[A-Z]\.|von|van|der|den|de|del|della|la|du|da|dos|di|zu|bin|al))* {NAME}(?:-{NAME})*){{0,3}}"
+RANKS = rf"(?:(?:{EITHER}) )*"
+#: Codes of countries, and numbers abroad and at home.
+CODE = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+PHONES = (
+    r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}\b",
+    r"\+(?=(?:[ ().-]{0,2}\d){8})\d{1,3}(?:[ .-]{0,2}(?:\(\d{1,4}\)|\d{1,4})){2,6}\b",
+    r"\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\(0\d{1,4}\) ?\d{3,4}[ -]?\d{3,4}\b",
+    r"\b(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}\b",
+    r"\b0\d(?:[ .-]\d{2}){4}\b|\b0\d{2,4}[ -]\d{3,4} ?\d{3,4}\b|\b0\d{2,4}/\d{4,8}\b|\b0\d \d{4} \d{4}\b",
+)
 #: Type -> pattern. Fixed values; earlier types win.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}\b|\(\d{3}\) ?\d{3}-\d{4}\b",
+    "phone": "|".join(PHONES),
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "password": r"\bpassword=[^\s,;]{6,}",
     "secret": r"\b[0-9a-f]{32,64}\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
     "card": r"\b\d(?:[ -]?\d){12,15}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "person_m": r"\b(?:Mr\.?|Herr|Señor|Monsieur) \p{Lu}\p{Ll}+|г-н \p{Lu}\p{Ll}+",
-    "person_f": r"\b(?:Mrs\.?|Ms\.?|Frau|Señora|Madame) \p{Lu}\p{Ll}+|г-жа \p{Lu}\p{Ll}+",
+    "person_m": rf"(?:\b|(?=г))(?:{MEN}) {RANKS}{FULL}",
+    "person_f": rf"(?:\b|(?=г))(?:{WOMEN}) {RANKS}{FULL}",
+    "person": rf"(?:\b|(?=[ДП]))(?:{EITHER}) {RANKS}{FULL}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these holds no entity.
-HINT = r"[0-9@]|password=|[0-9a-f]{32}|Mr|Ms|Herr|Frau|Señor|Monsieur|Madame|г-"
+#: Type -> what each entity of it holds, and a cheap pattern for all: a text without any of these holds no entity.
+HINTS = {"email": "@", "phone": "[0-9]", "access_key": "AKIA|ASIA", "password": "password=", "secret": "[0-9a-f]{32}", "ip": "[0-9]", "card": "[0-9]", "ssn": "[0-9]", "person_m": rf"(?:{MEN}) ", "person_f": rf"(?:{WOMEN}) ", "person": rf"(?:{EITHER}) "}
+HINT = "|".join(dict.fromkeys(HINTS[kind] for kind in PATTERNS))
 
 #: Names by gender and script. Fixed values.
 NAMES = {
@@ -38,6 +56,7 @@ NAMES = {
     ("person_m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь".split(),
     ("person_f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина".split(),
 }
+NAMES |= {("person", script): NAMES["person_m", script] + NAMES["person_f", script] for script in ("latin", "cyrillic")}
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 _CONSONANTS = {"latin": "bdklmnrst", "cyrillic": "бдклмнрст"}
 #: Rounds of collision checks in an entity's own format, each leaves about the collisions' square; what is left then takes a longer one.
@@ -91,8 +110,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     scrambled = _scrambled(value, seed)
     tld = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
     email = F.concat(_scrambled(F.regexp_replace(value, r"\.[A-Za-z]+$", ""), seed), tld)
-    code = F.regexp_extract(value, r"^\+\d{1,3}", 0)
-    phone = F.concat(code, _scrambled(F.regexp_replace(value, r"^\+\d{1,3}", ""), seed))
+    start = rf"^(?:{CODE}|0)"
+    phone = F.concat(F.regexp_extract(value, start, 0), _scrambled(F.regexp_replace(value, start, ""), seed))
     octet = lambda o, i: F.when(F.length(o) == 1, _below(nth(i), 9) + 1).when(F.length(o) == 2, _below(nth(i), 90) + 10).otherwise(_below(nth(i), 155) + 100).cast("string")
     ip = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
     access = F.concat(F.substring(value, 1, 4), F.array_join(F.transform(F.split(F.substring(value, 5, 16), ""), lambda c, i: _at("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _below(nth(i), 32))), ""))
@@ -107,7 +126,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     wide = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_below(nth(i), 155) + 100).cast("string")), ".")
     groups = F.concat(F.lit("2001:db8"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit(":"), F.substring(nth(i), 1, 4))), ""))
     ip = F.when(late == 0, ip).when(late <= ROUNDS, wide).otherwise(groups)
-    email, phone = F.concat(letters, email), F.concat(phone, F.when(late > 0, " x").otherwise(""), digits)
+    email, phone = F.concat(letters, email), F.concat(phone, digits)
     access, password, secret = F.concat(access, capitals), F.concat(password, letters), F.concat(_scrambled(value, seed, True), longer("0123456789abcdef", 10))
     card = F.when(late == 0, card).otherwise(_with_check_digit(F.concat(card, digits)))
     scrambled = F.concat(scrambled, F.when((late > 0) & (kind == "ssn"), F.concat(F.lit("-"), digits)).otherwise(letters))
@@ -124,7 +143,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "access_key", access).when(kind == "password", password)
-        .when(kind == "secret", secret).when(kind == "card", card).when(kind == "person_m", name("person_m")).when(kind == "person_f", name("person_f")).otherwise(scrambled)
+        .when(kind == "secret", secret).when(kind == "card", card).when(kind == "person_m", name("person_m")).when(kind == "person_f", name("person_f")).when(kind == "person", name("person")).otherwise(scrambled)
     )
 
 
@@ -138,21 +157,43 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
     while True:
         made = rest.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         # The first entity of a surrogate keeps it, unless the corpus or an earlier round holds it.
-        winner = made.groupBy("surrogate").agg(F.min("value").alias("value")).join(originals, "surrogate", "left_anti")
+        winner = made.groupBy("surrogate").agg(F.min(F.struct("value", "kind")).alias("w")).select("surrogate", "w.value", "w.kind").join(originals, "surrogate", "left_anti")
         if done is not None:
             winner = winner.join(done.select("surrogate"), "surrogate", "left_anti")
-        settled = C.cut(made.join(winner, ["surrogate", "value"], "left_semi").select("kind", "value", "surrogate"), per_core=1)
-        rest = C.cut(rest.join(settled.select("value"), "value", "left_anti").withColumn("attempt", F.col("attempt") + 1), per_core=1)
+        settled = C.cut(made.join(winner, ["surrogate", "value", "kind"], "left_semi").select("kind", "value", "surrogate"), per_core=1)
+        rest = C.cut(rest.join(settled.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("attempt", F.col("attempt") + 1), per_core=1)
         done = settled if done is None else done.unionByName(settled)
         if rest.isEmpty():
             return done
 
 
+def parts_of(kind: Column, value: Column) -> Column:
+    """The entities of a mention: the names of a person without title and marks, the digits of a number, else the mention."""
+    bare = F.regexp_replace(value, rf"^(?:(?:{MEN}|{WOMEN}|{EITHER}) )+", "")
+    names = F.array_distinct(F.regexp_extract_all(bare, F.lit(NAME), F.lit(0)))
+    return F.when(kind.startswith("person"), names).when(kind.isin("phone", "card"), F.array(F.regexp_replace(value, "[^0-9+]", ""))).otherwise(F.array(value))
+
+
+def rendered(kind: Column, value: Column, map_: Column) -> Column:
+    """A mention with the surrogates of its parts, in its own layout."""
+    title = F.regexp_extract(value, rf"^(?:(?:{MEN}|{WOMEN}|{EITHER}) )+", 0)
+    bare = F.substr(value, F.length(title) + 1)
+    found = F.regexp_extract_all(bare, F.lit(NAME), F.lit(0))
+    person = F.concat(title, F.array_join(F.zip_with(F.split(bare, NAME, -1), F.transform(found, lambda n: F.element_at(map_, n)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    digits = F.regexp_replace(F.element_at(F.map_values(map_), 1), "[^0-9]", "")
+    at = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^0-9]", ""))
+    laid = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, at(i), F.lit(1))).otherwise(c)), "")
+    number = F.concat(laid, F.substr(digits, F.length(F.regexp_replace(value, "[^0-9]", "")) + 1))
+    return F.when(kind.startswith("person"), person).when(kind.isin("phone", "card"), number).otherwise(F.element_at(F.map_values(map_), 1))
+
+
 def replace_entities(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with surrogates for entities; with ``counts`` also n_entities and kinds.
 
-    Equal entities have equal surrogates in all rows, different ones different surrogates. Null
-    and empty texts and texts without entities stay. Repeated rows give repeated results.
+    Equal entities have equal surrogates in all rows, different ones different surrogates: a number
+    whatever its separators, each name of a person whatever its title's form. Names that a text
+    has with a title are replaced in it without one, too; ``n_entities`` doesn't count these.
+    Null and empty texts and texts without entities stay. Repeated rows give repeated results.
     ``n_chars``, where there is such a column, follows the text.
     """
     names = docs.columns
@@ -161,11 +202,17 @@ def replace_entities(docs: DataFrame, key: str, counts: bool = False) -> DataFra
     has = F.coalesce(F.size(found) > 0, F.lit(False))
     held = C.cut(own.where(has).withColumn("entities", found).withColumn("row_key", F.monotonically_increasing_id()))
     seen = held.select("row_key", F.explode(F.array_distinct("entities")).alias("value"))
-    values = seen.select("value").distinct().withColumn("kind", kind_of(F.col("value"))).select(F.coalesce("kind", F.lit("other")).alias("kind"), "value")
-    known = surrogates(values, key)
-    maps = seen.join(known, "value").groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("map"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    values = seen.select("value").distinct().withColumn("kind", F.coalesce(kind_of(F.col("value")), F.lit("other")))
+    parts = C.cut(values.select("kind", "value", F.explode(parts_of(F.col("kind"), F.col("value"))).alias("part")), per_core=1)
+    known = surrogates(parts.select("kind", F.col("part").alias("value")).distinct(), key).select("kind", F.col("value").alias("part"), F.col("surrogate").alias("own"))
+    pair = F.struct("part", "own")
+    mapped = parts.join(known, ["kind", "part"]).groupBy("kind", "value").agg(F.map_from_entries(F.collect_list(pair)).alias("m"), F.collect_list(F.when(F.col("kind").startswith("person"), pair)).alias("people"))
+    mentions = C.cut(mapped.select("kind", "value", rendered(F.col("kind"), F.col("value"), F.col("m")).alias("surrogate"), "people"), per_core=1)
+    maps = seen.join(mentions, "value").groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("map"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("people")))).alias("people"))
     joined = held.join(maps, "row_key")
-    pieces = F.zip_with(F.split("text", ANY, -1), F.transform("entities", lambda e: F.element_at("map", e)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    bare = lambda text: F.aggregate("people", text, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{M}])"), p["part"], F.lit(r"(?![\p{L}\p{M}])")), p["own"]))
+    between = F.transform(F.split("text", ANY, -1), lambda a: F.when(F.size("people") > 0, bare(a)).otherwise(a))
+    pieces = F.zip_with(between, F.transform("entities", lambda e: F.element_at("map", e)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = joined.withColumn("new_text", F.array_join(pieces, "")).withColumn("n_entities", F.size("entities").cast("long"))
     plain = own.where(~has).withColumns({"new_text": F.col("text"), "n_entities": F.lit(0).cast("long"), "kinds": F.lit("")})
     columns = [(F.col("new_text") if c == "text" else F.length("new_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"own_{k}")).alias(c) for k, c in enumerate(names)]
