@@ -179,6 +179,12 @@ def genesis_union(spark, sf_dir):
     return store.union_view(None, _events(spark, sf_dir).where("block_number <= 300"), None)
 
 
+@register(_PARTS)
+def genesis_union_whole(spark, sf_dir):
+    """``genesis_union`` over the whole table."""
+    return store.union_view(None, _events(spark, sf_dir), None)
+
+
 @register(f"""WITH {EVENTS}, h AS (SELECT block_number, log_index, event_type, 0 AS s FROM e WHERE log_index > 600 UNION ALL SELECT block_number, log_index, lower(event_type) || '!', 1 FROM e WHERE log_index < 900)
 SELECT block_number, log_index, event_type FROM (SELECT *, row_number() OVER (PARTITION BY block_number, log_index ORDER BY s) AS r FROM h) WHERE r = 1 ORDER BY block_number DESC, log_index DESC LIMIT 100""")
 def recent_rows(spark, sf_dir):
@@ -503,6 +509,27 @@ def store_lifecycle(spark, sf_dir):
     return view.groupBy("block_number").agg(F.count("*").alias("n"), F.sum("value_dec").cast("string").alias("total"))
 
 
+@register(f"WITH {TRANSFERS} SELECT block_number, count(*) AS n, sum(value::HUGEINT)::VARCHAR AS total FROM t GROUP BY 1")
+def store_lifecycle_whole(spark, sf_dir):
+    """``store_lifecycle`` over the whole table: windows, rollback and seal at shares of its block range."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder()
+    s = store.Store(spark, f"{shared}/store-{uuid.uuid4().hex}")
+    rows = facts.transfers(spark, sf_dir).withColumns({"address": F.lit(facts.TOKEN), "block_hash": F.lit("0xb"), "tx_hash": F.lit("0xt"), "block_timestamp": F.col("block_number"), "_seq": K.sequence_key(F.col("block_number"), F.col("log_index"))})
+    names = {"token__transfer": sorted(rows.columns)}
+    first, last = rows.agg(F.min("block_number"), F.max("block_number")).first()
+    middle, seal, back = (first + (last - first) * k // 8 for k in (4, 5, 6))
+    low, high = rows.where(F.col("block_number") <= middle), rows.where(F.col("block_number") > middle)
+    s.commit_window({"token__transfer": low}, {middle: "a"}, middle, 0)
+    s.commit_window({"token__transfer": high}, {last: "b"}, last, 1)
+    s.rollback(back, names)
+    s.commit_window({"token__transfer": high.where(F.col("block_number") > back)}, {last: "c"}, last, 2)
+    s.seal_and_prune(seal, names)
+    view = s.view("token__transfer", names["token__transfer"], ["value"])
+    return view.groupBy("block_number").agg(F.count("*").alias("n"), F.sum("value_dec").cast("string").alias("total"))
+
+
 def _local_folder() -> str:
     import tempfile
 
