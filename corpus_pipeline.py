@@ -40,7 +40,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, C.tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, C.tokenizer_path("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [

@@ -9,6 +9,8 @@ on the capacity, not on the number of documents.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -140,24 +142,41 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[t
 class _Tokenizer:
     """Ids of whole texts by a JSON vocabulary: its merges in order, run by a compiled library.
 
-    What the library gives up on is encoded by the matrices of ``byte_bpe``.
+    What the library gives up on is encoded by the matrices of ``byte_bpe``. With ``added`` the
+    JSON's added tokens are found in texts, as the ``tokenizers`` library does at its defaults.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import public_tokenizers
         import tiktoken
 
         self.own = ByteBPE.from_json(path, public_tokenizers.PATTERN)
-        self.fast = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.own.vocab, special_tokens={})
+        self.fast = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.own.vocab, special_tokens=self._added(path) if added else {})
+        self.cuts = re.compile("|".join(map(re.escape, sorted(self.fast._special_tokens, key=len, reverse=True)))) if self.fast._special_tokens else None
+
+    @staticmethod
+    def _added(path: str) -> dict[str, int]:
+        with open(path, encoding="utf-8") as f:
+            tokens = json.load(f).get("added_tokens") or []
+        if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take blanks or whole words only aren't known here")
+        return {t["content"]: t["id"] for t in tokens}
 
     def ids(self, text: str) -> bytes:
         try:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
         except Exception:  # noqa: BLE001  its pattern engine has limits of its own
-            return C.ChunkCache(self.own.encode_chunks).ids([text])[0]
+            return self._slow(text)
+
+    def _slow(self, text: str) -> bytes:
+        cache, at, out = C.ChunkCache(self.own.encode_chunks), 0, []
+        for m in self.cuts.finditer(text) if self.cuts else ():
+            out += [*cache.ids([text[at : m.start()]]), np.array([self.fast._special_tokens[m[0]]], "<u4").tobytes()]
+            at = m.end()
+        return b"".join([*out, *cache.ids([text[at:]])])
 
 
-def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): token ids and ``end_id``, cut into pieces that fit.
 
     A null text has ``end_id`` alone. Only documents longer than ``capacity`` are cut, and only
@@ -167,7 +186,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int, keep_i
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def run(batches):
-        tokenizer = C.worker_cache(_Tokenizer, path)
+        tokenizer = C.worker_cache(_Tokenizer, path, added)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -232,15 +251,15 @@ def place_pieces(pieces: DataFrame, capacity: int, rounds: int = ROUNDS) -> Data
     return ranked.select(*names).mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names[:-1]) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """Every document of ``docs`` (doc_id, text) cut and packed into sequences of at most ``capacity`` tokens.
 
     Repeated rows are packed as often as they come; an empty table gives no rows; other columns
-    are ignored.
+    are ignored. With ``added`` the JSON's added tokens have their own ids where texts hold them.
     """
-    return place_pieces(C.cut(cut_documents(docs, path, capacity, end_id, keep_ids)), capacity)
+    return place_pieces(C.cut(cut_documents(docs, path, capacity, end_id, keep_ids, added)), capacity)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 2048 tokens; see ``pack_documents``."""
-    return pack_documents(C.table(spark, sf_dir, "documents"), C.tokenizer_path("byte_bpe_50k.json"))
+    return pack_documents(C.table(spark, sf_dir, "documents"), C.tokenizer_path("byte_bpe_50k.json"), added=True)

@@ -266,3 +266,19 @@ def test_pack_documents(spark):
         assert at <= 64
     assert len(places) <= -(-sum(r["length"] for r in rows) // 64) + 1
     assert packing.pack_documents(docs(spark, texts).limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_added_tokens_like_the_library(spark, tmp_path):
+    """The query against the library at its default settings, and the path for what the compiled one gives up on."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftex", "plain"]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["ids_crc32"] for r in packing.op6_packing(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(texts))] == [zlib.crc32(np.array([*w, 0], "<u4").tobytes()) for w in want]
+    slow = packing._Tokenizer(P.path("byte_bpe_50k.json"), True)
+    assert [np.frombuffer(slow._slow(t), "<u4").tolist() for t in texts] == want
