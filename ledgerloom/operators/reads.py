@@ -71,9 +71,12 @@ class Capped:
 
 
 def capped(df: DataFrame, most_rows: int = 50_000, most_bytes: int = 64 << 20) -> Capped:
-    """Rows for a caller: one beyond the cap is asked for, to know whether there are more."""
+    """Rows for a caller: one beyond the cap is asked for, to know whether there are more.
+
+    All rows of a limit come from one job, so that nothing goes on running once this returns or is interrupted.
+    """
     out, size = Capped(), 0
-    for row in df.limit(most_rows + 1).toLocalIterator():
+    for row in df.limit(most_rows + 1).collect():
         size += sum(len(str(v)) for v in row)
         if len(out.rows) >= most_rows or size > most_bytes:
             out.truncated = True

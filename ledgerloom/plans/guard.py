@@ -226,29 +226,41 @@ class Surface:
         """Rows up to the cap. One time limit holds for all of it; a full house refuses at once."""
         if not self.slots.acquire(blocking=False):
             raise Refused("too many queries at once")
-        tag = f"ledgerloom-{uuid.uuid4().hex}"
-        expired = threading.Event()
-
-        def stop() -> None:
-            expired.set()
-            self.spark.interruptTag(tag)
-
-        timer = threading.Timer(self.deadline_s, stop)
-        timer.start()
+        tag, expired, ended = f"ledgerloom-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+        sc = self.spark.sparkContext
+        late = TimeoutError(f"the query took longer than {self.deadline_s} s")
+
+        def watch() -> None:
+            # A job may start after the limit, when planning took it all, so interrupts go on until the call ends.
+            wait = self.deadline_s
+            while not ended.wait(wait):
+                expired.set()
+                self.spark.interruptTag(tag)
+                wait = 0.1
+
+        watcher = threading.Thread(target=watch, name=tag, daemon=True)
+        watcher.start()
         self.spark.addTag(tag)
+        sc.setInterruptOnCancel(True)
         try:
             from ledgerloom.operators.reads import capped
 
             df = self.frame(sql, args)
+            if expired.is_set():
+                raise late
             found = capped(df, self.most_rows)
+            if expired.is_set():
+                raise late
             return Answer(found.rows, df.columns, found.truncated)
         except Exception as e:
-            if expired.is_set():
-                raise TimeoutError(f"the query took longer than {self.deadline_s} s") from e
+            if expired.is_set() and e is not late:
+                raise late from e
             raise
         finally:
-            timer.cancel()
+            ended.set()
+            watcher.join()
             self.spark.removeTag(tag)
+            sc.setInterruptOnCancel(False)
             self.slots.release()
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from ledgerloom.functions.columns import with_big_columns
@@ -52,10 +54,35 @@ def test_caps_and_hints(surface):
     assert split_statements("a; b -- c;\n; 'd;e'") == ["a", "b", "'d;e'"]
 
 
+SLOW = "SELECT count(*) FROM range(100000000000) WHERE sha2(cast(id AS string), 256) LIKE '0000000000%'"
+
+
 def test_deadline(spark):
     slow = Surface(spark, {}, deadline_s=0.5)
+    for _ in range(3):
+        began = time.monotonic()
+        with pytest.raises(TimeoutError):
+            slow.run(SLOW)
+        # The cores are free at once: neither the query nor a slot lingers.
+        assert Surface(spark, {}).run("SELECT count(*) FROM range(1000000)").rows[0][0] == 1000000
+        assert time.monotonic() - began < 10
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
+def test_deadline_during_planning(spark, monkeypatch):
+    slow = Surface(spark, {}, deadline_s=0.2)
+    whole = Surface.frame
+
+    def late(self, sql, args=None):
+        time.sleep(0.6)
+        return whole(self, sql, args)
+
+    monkeypatch.setattr(Surface, "frame", late)
     with pytest.raises(TimeoutError):
-        slow.run("SELECT count(*) FROM range(100000000000) WHERE sha2(cast(id AS string), 256) LIKE '0000000000%'")
+        slow.run(SLOW)
+    monkeypatch.undo()
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert Surface(spark, {}).run("SELECT 1").rows[0][0] == 1
 
 
 def test_named(surface):
