@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; a batch of this many long texts still fits a Python worker.
 BATCH_ROWS = 1000
+#: Shuffle partitions of a table of few bytes a document that one checkpoint file may hold.
+MERGED = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """These settings of the session while what is within is planned and run."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; set only where it is unset."""
     sc = spark.sparkContext
@@ -41,12 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, per_core: int | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again: lineage ends here.
 
-    ``per_core`` bounds the files by the cluster's cores: 1 for tables of few bytes for each
-    document, more for larger ones. Hundreds of tiny files cost more than they hold.
+    ``per_core`` is for tables of few bytes for each document: hundreds of tiny files cost more than
+    they hold. Files are then as many as so many for each core, or one for ``MERGED`` shuffle
+    partitions where that is more, so that a file's size stays bounded as partitions grow in number.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     if per_core:
-        df = df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
+        df = df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED)))
     return df.checkpoint(eager=True)
 
 

@@ -282,16 +282,20 @@ def test_forms_and_coreference(spark):
 # -- quality model
 
 
+def _symbols(t):
+    return [quality_lm.BEGIN] * (quality_lm.ORDER - 1) + [ord(c) for c in t] + [quality_lm.END]
+
+
 def _plain_kn(texts):
     """Modified Kneser-Ney over symbol tuples, straight from the definition."""
-    grams: dict = {}
-    for t in texts:
-        s = [0] * 3 + quality_lm.symbols(t).tolist()
-        for i in range(3, len(s)):
-            g = tuple(s[i - 3 : i + 1])
+    n, grams = quality_lm.ORDER, {}
+    for t in filter(None, texts):
+        s = _symbols(t)
+        for i in range(n, len(s) + 1):
+            g = tuple(s[i - n : i])
             grams[g] = grams.get(g, 0) + 1
     levels = [grams]
-    for _ in range(3):
+    for _ in range(n - 1):
         lower: dict = {}
         for g in levels[-1]:
             lower[g[1:]] = lower.get(g[1:], 0) + 1
@@ -310,7 +314,7 @@ def _plain_kn(texts):
 
     def p(g):
         if not g:
-            return 1 / 64
+            return 1 / (len(levels[0]) + 1)
         level, d = levels[len(g) - 1], ds[len(g) - 1]
         around = {k: c for k, c in level.items() if k[:-1] == g[:-1]}
         if not around:
@@ -323,35 +327,77 @@ def _plain_kn(texts):
     return p
 
 
+def _plain_log(p, text):
+    s, n = _symbols(text), quality_lm.ORDER
+    return sum(np.log(p(tuple(s[i - n : i]))) for i in range(n, len(s) + 1)) if text else 0.0
+
+
 def test_model_against_definition(spark):
     rng = random.Random(11)
-    texts = [prose(rng, 12) + ". Ünder 12" for _ in range(8)]
-    tables, leftovers = quality_lm.kneser_ney(quality_lm.count_ngrams(docs(spark, texts).select("text")))
-    log = quality_lm.dense_log([quality_lm._arrays(t, "code", "p") for t in tables], [quality_lm._arrays(t, "context", "gamma") for t in leftovers])
+    texts = [prose(rng, 12) + ". Ünder 12" for _ in range(8)] + ["в начале было слово", "天地玄黄宇宙洪荒", "x"]
+    weights, base = quality_lm.kneser_ney(quality_lm.count_ngrams(docs(spark, texts).select("text")))
     p = _plain_kn(texts)
-    for t in [*texts[:2], "xyz qq!", "ba ba ba"]:
-        code, _ = quality_lm.codes([quality_lm.symbols(t)])
-        s = [0] * 3 + quality_lm.symbols(t).tolist()
-        want = [np.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]
-        assert np.allclose(log[code], want, atol=1e-4)
-    assert abs(np.exp(log.reshape(-1, 64).astype(float)).sum(1) - 1).max() < 1e-3
+    ask = [*texts[:2], *texts[-3:], "xyz qq!", "ba ba ba", "слово о полку", "玄黄天", "", None, texts[0]]
+    got = {r["doc_id"]: r for r in quality_lm.score_texts(docs(spark, ask), weights, base, ("doc_id",)).collect()}
+    assert len(got) == len(ask)
+    for k, t in enumerate(ask):
+        assert got[k]["n_symbols"] == (len(t) + 1 if t else 0) and abs(got[k]["log_sum"] - _plain_log(p, t or "")) < 1e-3, t
+    seen = {g for t in texts for g in _symbols(t)} - {quality_lm.BEGIN}
+    start = tuple(_symbols("ba ")[2:5])
+    assert abs(sum(p((*start, c)) for c in seen) + p((*start, 0x10FFFF)) - 1) < 1e-9
+
+
+def test_windows_hold_every_place_once(monkeypatch):
+    monkeypatch.setattr(quality_lm, "SLICE", 7)
+    texts = ["abcdefghijklmnopqrstuvwxyz", "", "a", "ab" * 9]
+    n, want, got = quality_lm.ORDER, [], []
+    for k, t in enumerate(texts):
+        s = [quality_lm.BEGIN, *_symbols(t)]
+        want += [(k, *s[i - n : i]) for i in range(n, len(s) + 1)] if t else []
+    for segment in quality_lm.segments(texts):
+        grams, number, row = quality_lm.windows(segment)
+        got += [(int(r), *grams[m].tolist()) for r, m in zip(row, number)]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("letters", ["аеиокнстрвлм", "天地玄黄宇宙洪荒日月盈昃辰宿列张"])
+def test_scripts_are_told_apart(spark, letters):
+    """Text of trained words is likelier than the same characters in another order, in any script."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(12)]
+    good = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    bad = ["".join(rng.sample(t, len(t))) for t in good[:10]]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(35)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in quality_lm.judge_documents(docs(spark, good + bad), labels).collect()}
+    assert all(rows[k]["keep"] for k in range(35)) and not any(rows[k]["keep"] for k in range(40, 50))
 
 
 def test_quality_keeps_clean_texts(spark):
     rng = random.Random(12)
     good = [prose(rng, 60) for _ in range(150)]
-    junk = ["*** ".join(prose(rng, 40).split()) for _ in range(10)] + [" ".join([w] * 12) for w in prose(rng, 10).split()]
+    junk = ["*** ".join(prose(rng, 40).split()) for _ in range(10)] + [prose(rng, 40).upper() for _ in range(10)]
     texts = [*good, *junk, None, ""]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(100)], "doc_id long, quality int, toxic int")
     rows = {r["doc_id"]: r for r in quality_lm.judge_documents(docs(spark, texts), labels).collect()}
     assert len(rows) == len(texts)
-    assert sum(rows[k]["keep"] for k in range(150)) >= 145 and sum(rows[k]["keep"] for k in range(150, 170)) <= 2
+    assert sum(rows[k]["keep"] for k in range(150)) >= 142 and sum(rows[k]["keep"] for k in range(150, 170)) <= 2
     assert rows[len(texts) - 1]["keep"] and rows[len(texts) - 2]["keep"]
     none = spark.createDataFrame([], labels.schema)
     assert all(r["keep"] for r in quality_lm.judge_documents(docs(spark, texts[:3]), none).collect())
     assert quality_lm.judge_documents(docs(spark, texts).limit(0), labels).count() == 0
 
 
+def test_quality_edges(spark):
+    """Null ids and languages, repeated rows, a shuffled frame, a very long text, and columns of clashing names."""
+    rng = random.Random(13)
+    d = spark.createDataFrame([(k, prose(rng, 50), "a" if k % 2 else None, 1.0, "x") for k in range(30)] + [(None, "ba ko", "a", 2.0, "y"), (30, prose(rng, 60_000), "a", 2.0, "y")] * 2, "doc_id long, text string, lang string, perplexity double, block string").repartition(3)
+    labels = spark.createDataFrame([(k % 20, 1, 0) for k in range(40)] + [(None, 1, 0), (25, None, None)], "doc_id long, quality int, toxic int")
+    rows = quality_lm.judge_documents(d, labels).collect()
+    assert len(rows) == 34 and {r["lang"] for r in rows} == {"a", None} and len({r["perplexity"] for r in rows if r["doc_id"] is None}) == 1
+    long = [r for r in rows if r["doc_id"] == 30]
+    assert len(long) == 2 and long[0] == long[1] and long[0]["n_symbols"] > 200_000
+
+
 # -- pipeline
 
 
