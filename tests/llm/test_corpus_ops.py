@@ -4,7 +4,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,25 +78,77 @@ def test_label_model_downweights_copies():
 # -- line dedup
 
 
+def _compare_lines(spark, texts, ids=None):
+    """Rows of the operator and of its SQL over the same documents."""
+    d = spark.createDataFrame(list(zip(ids or range(len(texts)), texts)), "doc_id long, text string")
+    got = sorted(map(tuple, line_dedup.dedup_lines(d, counts=True).select("doc_id", "n_lines", "n_dropped", "text").collect()), key=str)
+    table = pa.table({"doc_id": pa.array(ids or range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    db = duckdb.connect()
+    db.register("documents", table)
+    assert got == sorted(db.sql(line_dedup.oracle()).fetchall(), key=str)
+    return {r[0]: r for r in got}
+
+
 def test_lines(spark):
     rng = random.Random(4)
-    shared = prose(rng, 60)
+    shared = prose(rng, 30)
     texts = [f"{prose(rng, 12)}\n{shared}\n{prose(rng, 12)}" for _ in range(4)]
     texts += [f"{prose(rng, 9)}\nSent by user{k}@mail.example.com at 12:0{k} from the old office" for k in range(4)]
-    head = "the quick report of machine"
-    tail = "was written to the big red disk of the very old house"
-    texts += [f"{head} {prose(rng, 1)} {tail}" for _ in range(5)]
+    head, tail = "the quick report of", "was written to the big red disk of the very old house"
+    texts += [f"{head} {prose(rng, 1)}{k} {tail}" for k in range(5)]
     texts += [None, "", "short line here", "short line here", "short line here", "\n\n"]
     same = f"{prose(rng, 20)}\n{prose(rng, 20)}"
     texts += [same] * 3
-    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, texts), counts=True).collect()}
-    assert rows[0]["text"] == texts[0] and all(shared not in rows[k]["text"] and rows[k]["n_dropped"] == 1 for k in (1, 2, 3))
-    assert rows[4]["text"] == texts[4] and all("Sent by" not in rows[k]["text"] for k in (5, 6, 7))
-    assert rows[8]["text"] == texts[8] and all(rows[k]["text"] == "" for k in range(9, 13))
-    assert all(rows[k]["text"] == texts[k] for k in range(13, len(texts)))
+    rows = _compare_lines(spark, texts)
+    assert rows[0][3] == texts[0] and all(shared not in rows[k][3] and rows[k][2] == 1 for k in (1, 2, 3))
+    assert rows[4][3] == texts[4] and all("Sent by" not in rows[k][3] for k in (5, 6, 7))
+    assert rows[8][3] == texts[8] and all(rows[k][3] == "" for k in range(9, 13))
+    assert all(rows[k][3] == texts[k] for k in range(13, len(texts)))
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_lines_by_length(spark):
+    """A passage goes from two texts on, a usual line from three, a short one from ten."""
+    rng = random.Random(5)
+    passage, usual, short = prose(rng, 60), prose(rng, 9), "Les."
+    texts = [f"{prose(rng, 20)}\n{passage}" for _ in range(2)] + [f"{prose(rng, 20)}\n{usual}" for _ in range(2)]
+    texts += [f"{prose(rng, 20)}\n{short}" for _ in range(10)] + [f"{prose(rng, 20)}\nTo." for _ in range(9)]
+    rows = _compare_lines(spark, texts)
+    assert [rows[k][2] for k in range(len(texts))] == [0, 1, 0, 0] + [0] + [1] * 9 + [0] * 9
+
+
+def test_lines_with_variable_words(spark):
+    """Variable words in shorter lines and in several places; exact repeats take part; one first document for all."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.sample("abcdefgh", 6))
+    one = [f"please note that our {w} office is closed today" for w in ("main", "main", "main", "north", "south")]
+    two = [f"dear reader of this {word()} page we thank you for {word()} support and trust" for _ in range(4)]
+    texts = [f"{prose(rng, 15)}\n{x}" for x in one + two] + [f"{prose(rng, 15)}\n{prose(rng, 9)}" for _ in range(6)]
+    rows = _compare_lines(spark, texts)
+    assert [rows[k][2] for k in range(len(texts))] == [0, 1, 1, 1, 1, 0, 1, 1, 1] + [0] * 6
+
+
+def test_lines_like_their_sql(spark):
+    """Random lines of few words, so that templates meet in many ways; repeated rows."""
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice("a b c1 d".split() if rng.random() < 0.3 else ["x"]) for _ in range(rng.choice([1, 3, 7, 8, 9, 10, 11, 14, 53])))
+    pool = [line() for _ in range(60)]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.7 else line() for _ in range(rng.randint(1, 5))) for _ in range(150)]
+    rows = _compare_lines(spark, texts + texts[:3], [*range(len(texts)), 0, 1, 900])
+    assert sum(r[2] for r in rows.values()) > 50
+
+
+def test_lines_of_one_document(spark):
+    """A very long text, a null id, ids that come twice with different texts, and a hot line."""
+    rng = random.Random(8)
+    hot = "this line is in every single document here"
+    texts = ["\n".join([hot] + [prose(rng, 12) for _ in range(5000)])] + [f"{hot}\n{prose(rng, 6)}" for _ in range(1500)]
+    ids = [0, *range(1, 1500), 7]
+    d = spark.createDataFrame([*zip(ids, texts), (None, f"{hot}\nown words")], "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]): r["n_dropped"] for r in line_dedup.dedup_lines(d, counts=True).collect()}
+    assert len(got) == 1502 and got[0, texts[0]] == 0 and sum(got.values()) == 1501
+
+
 def test_lines_follow_n_chars(spark):
     line = "one two three four five six"
     d = spark.createDataFrame([(k, f"{line}\nown {k} words of this very text", 99) for k in range(3)], "doc_id long, text string, n_chars long")
