@@ -1,7 +1,7 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are sorted into buckets of near-equal length and kept as blocks. A query's threshold
-is its k-th best score so far. A block whose longest vector can't reach it is passed over; in
+is its k-th best score so far. Blocks whose longest vector can't reach it aren't moved; in
 the others the threshold gives a local cosine, by which either lengths are cut off (a low one)
 or a partial product over the query's largest coordinates plus a Cauchy-Schwarz bound of the
 rest is tried first (a high one). What is left is verified with whole products.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import _common as C
 
-#: Rows in a block of candidates, and in a block of queries.
-BLOCK_ROWS, QUERY_ROWS = 2048, 512
+#: Rows in a block of candidates, and in a block of queries (less than 1,024); blocks in a tile; parts that one dimension is dealt into.
+BLOCK_ROWS, QUERY_ROWS, TILE, SALTS = 2048, 512, 16, 32
 #: Above this local cosine the coordinate bound is tried before whole products.
 COORDINATE_COSINE = 0.5
 #: Floats hold integers below this exactly.
@@ -27,11 +27,11 @@ _EXACT = 2**53
 
 
 def floor_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, dim, v array<double> of whole numbers, norm) of vectors that are whole and finite."""
+    """(vec_id, dim, v array<double> of whole numbers, norm) of vectors that are whole and finite; rows without an id take no part."""
     x = F.col("embedding")
     good = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
     v = F.transform(x, lambda e: F.rint(e.cast("double") * F.lit(float(scale)) - F.pmod(e.cast("double") * F.lit(float(scale)), F.lit(1.0))))
-    out = C.pick(vectors, "vec_id", "embedding").where(good).select("vec_id", F.size(x).alias("dim"), v.alias("v"))
+    out = C.pick(vectors, "vec_id", "embedding").where(good & F.col("vec_id").isNotNull()).select("vec_id", F.size(x).alias("dim"), v.alias("v"))
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))
 
 
@@ -119,56 +119,107 @@ def _blocks(rows: DataFrame, size: int, n: int, by_norm: bool) -> DataFrame:
     def one(task, made, dim, gs):
         g = pd.concat(gs)
         data = np.stack(g["v"].to_numpy()) if dim else np.zeros((len(g), 0))
-        return pd.DataFrame({"block": [task * 1_000_000 + made], "dim": [dim], "longest": [float(g["norm"].max())], "ids": [g["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.astype(np.float64).tobytes()]})
+        return pd.DataFrame({"block": [task << 24 | made], "dim": [dim], "longest": [float(g["norm"].max())], "ids": [g["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.astype(np.float64).tobytes()]})
 
     return dealt.mapInPandas(pack, schema)
 
 
-def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best inner products of each query, ties to smaller ids.
+def _held(r) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block."""
+    ids = np.frombuffer(r.ids, np.int64)
+    return ids, _matrix(r.data, r.dim) if r.dim else np.zeros((len(ids), 0))
 
-    Both tables hold ``floor_vectors`` rows. A query is not compared with its own id; vectors
-    of another dimension than the query's take no part. Every query meets every block, but only
-    blocks move: their number is the rows over the block size. Repeated ids are separate rows.
-    """
-    spark = queries.sparkSession
-    C.small_batches(spark, 2000)
-    queries, candidates = (C.cut(C.pick(x, "vec_id", "dim", "v", "norm")) for x in (queries, candidates))
-    n_q, n_c = queries.count(), candidates.count()
-    q_blocks = C.cut(_blocks(queries, QUERY_ROWS, n_q, False).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "data": "q_data"}).drop("longest"))
-    c_blocks = C.cut(_blocks(candidates, BLOCK_ROWS, n_c, True))
 
-    # A first threshold of each query: its k-th best among one block of its dimension, that of the longest vectors.
-    first = c_blocks.groupBy("dim").agg(F.max_by(F.struct("block", "ids", "data"), F.struct("longest", -F.col("block"))).alias("b")).select("dim", "b.*")
-    found = "q_block long, floors binary"
+def _floors(q_blocks: DataFrame, c_blocks: DataFrame, k: int) -> DataFrame:
+    """(block, dim, floors, reach): scores that the k-th best of each query reaches, and the least length of a candidate that may do so.
 
-    def floors(frames):
+    They come from one block of the dimension, that of the longest vectors.
+    """
+    first = c_blocks.groupBy("dim").agg(F.max_by(F.struct("ids", "data"), F.struct("longest", -F.col("block"))).alias("first"))
+    # One dimension may hold all queries, so the block meets them in parts.
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("dim", "salt", F.col("first.ids").alias("c_ids"), F.col("first.data").alias("c_data"))
+
+    def run(frames):
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                q, c = _matrix(r.q_data, r.dim) if r.dim else np.zeros((len(r.q_ids) // 8, 0)), _matrix(r.data, r.dim) if r.dim else np.zeros((len(r.ids) // 8, 0))
-                score = _products(q, c).astype(np.float64)
-                score[np.frombuffer(r.q_ids, np.int64)[:, None] == np.frombuffer(r.ids, np.int64)[None, :]] = -np.inf
+                q_ids, q = _held(r)
+                c_ids = np.frombuffer(r.c_ids, np.int64)
+                score = _products(q, _matrix(r.c_data, r.dim) if r.dim else np.zeros((len(c_ids), 0))).astype(np.float64)
+                score[q_ids[:, None] == c_ids[None, :]] = -np.inf
                 best = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
-                out.append((r.q_block, best.tobytes()))
-            yield pd.DataFrame(out, columns=["q_block", "floors"])
+                best = best - np.abs(best) * 1e-12  # floats may round up
+                length = np.sqrt((q * q).sum(1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    reach = np.where(best <= 0, 0.0, best / length)
+                out.append((r.block, r.dim, best.tobytes(), float(reach.min()) * (1 - 1e-9)))
+            yield pd.DataFrame(out, columns=["block", "dim", "floors", "reach"])
 
-    with_floor = C.cut(q_blocks.join(first, "dim").mapInPandas(floors, found).join(q_blocks, "q_block"))
+    met = q_blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(first, ["dim", "salt"])
+    return met.select("block", "dim", "ids", "data", "c_ids", "c_data").mapInPandas(run, "block long, dim int, floors binary, reach double")
 
-    tasks = max(1, min(4096, spark.sparkContext.defaultParallelism * 2))
-    pairs = with_floor.join(c_blocks, "dim").repartition(tasks, "q_block", "block")
 
-    def verify(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                q_ids, c_ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, c = (_matrix(r.q_data, r.dim), _matrix(r.data, r.dim)) if r.dim else (np.zeros((len(q_ids), 0)), np.zeros((len(c_ids), 0)))
-                hits, _ = search_block(q, q_ids, np.frombuffer(r.floors, np.float64), c, c_ids, k)
-                out += [(q_ids[a], b, s, r.q_block * 1_000_000 + a) for a, b, s in hits]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "q_row"]).astype("int64")
+def cells(q_blocks: DataFrame, floors: DataFrame, c_blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries' tiles and candidates' tiles (block -> tile), and the pairs of tiles (q_tile, c_tile) that may hold a best score.
 
-    hits = pairs.mapInPandas(verify, "query_id long, vec_id long, score long, q_row long")
+    A tile is up to ``TILE`` blocks of one dimension and near length. Pairs are chosen by two numbers of each tile.
+    """
+
+    def tiled(of: DataFrame, by, name: str) -> DataFrame:
+        # Blocks are numbered by their tasks, which are in order of dimension and length.
+        place = F.shiftright("block", 24) if by is None else by
+        return of.withColumn(name, F.xxhash64("dim", F.floor(place / TILE)))
+
+    q_meta = tiled(floors.select("block", "dim", "reach"), None, "q_tile")
+    c_meta = tiled(c_blocks.select("block", "dim", "longest"), None, "c_tile")
+    q_tiles = q_meta.groupBy("q_tile", "dim").agg(F.min("reach").alias("reach")).withColumn("salt", F.pmod("q_tile", F.lit(SALTS)).cast("int"))
+    c_tiles = c_meta.groupBy("c_tile", "dim").agg(F.max("longest").alias("longest")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = q_tiles.join(c_tiles, ["dim", "salt"]).where(F.col("longest") * (1 + 1e-9) >= F.col("reach")).select("q_tile", "c_tile")
+    return q_meta.select("block", "q_tile"), c_meta.select("block", "c_tile"), pairs
+
+
+def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best inner products of each query, ties to smaller ids.
+
+    Both tables hold ``floor_vectors`` rows. A query is not compared with its own id; vectors
+    of another dimension than the query's take no part. Pairs of tiles of blocks are chosen by
+    their lengths alone, before any vector moves; then both tiles of a pair meet in one task, a
+    bounded number of vectors. Scores beyond 64 bits are held at the range's ends and tie there.
+    Repeated ids are separate rows.
+    """
+    spark = queries.sparkSession
+    C.small_batches(spark, 2000)
+    queries, candidates = (C.cut(C.pick(x, "vec_id", "dim", "v", "norm")) for x in (queries, candidates))
+    q_blocks = C.cut(_blocks(queries, QUERY_ROWS, queries.count(), False))
+    c_blocks = C.cut(_blocks(candidates, BLOCK_ROWS, candidates.count(), True))
+    C.small_batches(spark, 16)  # rows are whole blocks from here on
+    floors = C.cut(_floors(q_blocks, c_blocks, k))
+    q_of, c_of, pairs = cells(q_blocks, floors, c_blocks)
+    pairs = C.cut(pairs, per_core=1)
+    left = q_blocks.drop("longest").join(floors.select("block", "floors"), "block").join(q_of, "block").join(pairs, "q_tile")
+    right = c_blocks.drop("longest").join(c_of, "block").join(pairs, "c_tile")
+
+    def verify(q_rows: pd.DataFrame, c_rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in q_rows.itertuples():
+            q_ids, q = _held(r)
+            floor, best = np.frombuffer(r.floors, np.float64).copy(), [[] for _ in q_ids]
+            for other in c_rows.itertuples():
+                if other.dim != r.dim:
+                    continue
+                c_ids, c = _held(other)
+                for a, b, score in search_block(q, q_ids, floor, c, c_ids, k)[0]:
+                    best[a].append((-score, b))
+                for a, found in enumerate(best):
+                    if len(found) >= k:
+                        found.sort()
+                        del found[k:]
+                    if len(found) >= k:  # the floor rises with what has been found
+                        floor[a] = max(floor[a], -float(found[-1][0]) - abs(float(found[-1][0])) * 1e-12)
+            out += [(int(q_ids[a]), b, min(max(-s, -(2**63)), 2**63 - 1), (r.block << 10) + a) for a, found in enumerate(best) for s, b in found]
+        return pd.DataFrame({n: np.array([x[i] for x in out], np.int64) for i, n in enumerate(("query_id", "vec_id", "score", "q_row"))})
+
+    hits = left.groupBy("q_tile", "c_tile").cogroup(right.groupBy("q_tile", "c_tile")).applyInPandas(verify, "query_id long, vec_id long, score long, q_row long")
     best = Window.partitionBy("query_id", "q_row").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

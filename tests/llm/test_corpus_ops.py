@@ -292,6 +292,30 @@ def test_top_k_against_all_products(spark):
     assert topk_search.exact_top_k(v.limit(0), v.limit(0), 5).count() == 0
 
 
+def test_top_k_defined_for_odd_rows(spark):
+    """Null ids take no part and don't harm other ids; huge products are held at the range's ends; names may clash."""
+    big = 2**53 + 1
+    rows = [(big, [1.0, 2.0], 1, "x"), (None, [9.0, 9.0], 1, "x"), (50, [1.0, 1.0], 1, "y"), (3, [0.5, 0.5], 1, "y"), (4, [0.5, 0.5], 1, "y")]
+    v = topk_search.floor_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, data string"))
+    got = topk_search.exact_top_k(v.where("vec_id = 50"), v, 2).collect()
+    assert sorted(map(tuple, got)) == [(50, 1, big, 256 * 256 * 3), (50, 2, 3, 256 * 128 * 2)]
+    huge = [(50, [1e9, 1e9]), (1, [1e9, 1e9]), (2, [-1e9, -1e9]), (3, [1e-3, 0.0]), (4, [2e9, 1e9])]
+    v = topk_search.floor_vectors(spark.createDataFrame(huge, "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, topk_search.exact_top_k(v.where("vec_id = 50"), v, 5).collect()))
+    assert got == [(50, 1, 1, 2**63 - 1), (50, 2, 4, 2**63 - 1), (50, 3, 3, 0), (50, 4, 2, -(2**63))]
+
+
+def test_few_tiles_meet_on_skewed_norms(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    data = rng.normal(0, 0.01, (600, 8))
+    data[:20] = rng.normal(0, 5, (20, 8))
+    v = topk_search.floor_vectors(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(data)], "vec_id long, embedding array<double>"))
+    q, c = topk_search._blocks(v.where("vec_id < 20"), 20, 20, False).checkpoint(), topk_search._blocks(v, 20, 600, True).checkpoint()
+    monkeypatch.setattr(topk_search, "TILE", 1)
+    _, tiles, pairs = topk_search.cells(q, topk_search._floors(q, c, 3), c)
+    assert tiles.select("c_tile").distinct().count() >= 20 and pairs.count() <= 4
+
+
 def test_pruning_keeps_the_best():
     rng = np.random.default_rng(9)
     c = np.floor(rng.normal(0, 60, (500, 16)))
