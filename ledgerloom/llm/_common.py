@@ -68,18 +68,18 @@ def cut(df: DataFrame, per_core: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: str, parts: int = 64) -> DataFrame:
-    """``rows`` joined with ``keyed`` (one row for each key, already written) without a task that meets all rows of one key.
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str, spread: str, how: str = "inner", counts: DataFrame | None = None, parts: int = 64) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row for each key) without a task that meets all rows of one key.
 
-    ``n`` is about how many of the rows hold a key. Keys that hold more than a thousandth of all,
-    so fewer than a thousand keys, are hot: their rows are dealt into ``parts`` by ``spread``.
+    ``n`` is about how many of the rows hold a key, in ``counts`` (``keyed`` itself where not given),
+    which should be written already. The thousand keys held most, where by more than 500 rows, are
+    hot: their rows are dealt into ``parts`` by ``spread``, and their row of ``keyed`` goes to each part.
     """
-    total = keyed.agg(F.sum(n).alias("n")).first()["n"] or 0
-    is_hot = (F.col(n) * 1000 > F.lit(total)) & (F.col(n) > 500)
-    hot = F.broadcast(keyed.where(is_hot).select(key, F.lit(True).alias("_hot")))
-    dealt = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")).drop("_hot")
-    each = keyed.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(each, [key, "_part"]).drop("_part")
+    key = [key] if isinstance(key, str) else key
+    hot = (keyed if counts is None else counts).where(F.col(n) > 500).orderBy(F.col(n).desc(), *key).limit(1000).select(*key, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")).drop("_hot")
+    each = keyed.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(each, [*key, "_part"], how).drop("_part")
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -31,14 +31,17 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Documents of a batch (their number within it takes 10 bits of a key), and bytes of text worked on at once.
 BATCH, DOC_BITS, SLICE_BYTES = 1000, 10, 1_000_000
+BATCH_CODES = 1 << DOC_BITS
 #: Characters of text for each counting shard.
 SHARD_CHARS = 8_000_000
-#: Sets above this size are always heavy.
-MOST_LIGHT = 10
+#: Sizes that the boundary's cost is reckoned for; beyond, a set has too many subsets to be light at any cost.
+MOST_LIGHT = 24
 #: Rounds in which hubs meet their lists before all pairs between components do.
 HUB_ROUNDS = 2
 #: Sets of so many classes are picked by a broadcast of their keys; of more, by a shuffle.
 BROADCAST_NODES = 200_000
+#: Entries of a long list that meet in one task at most, with as many others.
+TILE = 1000
 #: Rows of an Arrow batch while sets are compared: two whole sets come with each.
 PAIR_ROWS = 48
 
@@ -160,65 +163,81 @@ def _thick(blob: bytes) -> np.ndarray:
 
 
 _ROUTED = "shard int, batch long, kind int, blob binary"
-_SETS = "doc_id long, n int, key_a long, key_b long, nu binary, prefix binary, light double, heavy double"
+_SETS = "row long, doc_id long, n int, key_a long, key_b long, nu binary, prefix binary, light double, heavy double"
 
 
 def _route(docs: DataFrame, shards: int) -> DataFrame:
-    """For each batch a row about its documents, and for each shard one with its shingles."""
+    """For each batch rows about its documents (kinds 0 and 2), and for each shard one with its shingles (kind 1).
+
+    A shard gets a shingle once from a batch: with the document's number, or if several hold it with
+    ``BATCH_CODES`` more than how many do. Which these are stays with the batch (kind 2), so that a shingle
+    of all documents is as many entries as there are batches.
+    """
     bits = _id_bits(shards)
 
     def run(batches):
         from pyspark import TaskContext
 
         edges = np.array([-(-(s << bits) // shards) for s in range(1, shards)], np.uint64)
-        for number, batch in enumerate(batches):
-            name = TaskContext.get().partitionId() << 32 | number
-            texts = C.text_bytes(batch.column("text"))
-            keys = shingle_keys(texts)
-            doc = (keys & np.uint64((1 << DOC_BITS) - 1)).astype(np.uint16)
-            n = np.bincount(doc, minlength=len(texts)).astype(np.int32)
-            by_doc = np.argsort(doc, kind="stable")
-            own = np.split((keys >> np.uint64(DOC_BITS))[by_doc], np.cumsum(n)[:-1])
-            digests = b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own)
-            ids = batch.column("doc_id")
-            known = np.array([x is not None for x in ids.to_pylist()], bool)
-            about = np.array([len(texts)], np.int64).tobytes() + ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + known.tobytes() + n.tobytes() + digests
-            rows = [(shards + name % 64, name, 0, about)]
-            short = keys >> np.uint64(64 - bits)
-            cuts = np.concatenate([[0], np.searchsorted(short, edges), [len(short)]])
-            rows += [(s, name, 1, _pack(short[a:b], doc[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "batch", "kind", "blob"])
+        number = 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
+                name = TaskContext.get().partitionId() << 30 | number
+                number += 1
+                texts = C.text_bytes(batch.column("text"))
+                keys = shingle_keys(texts)
+                doc = (keys & np.uint64(BATCH_CODES - 1)).astype(np.uint16)
+                n = np.bincount(doc, minlength=len(texts)).astype(np.int32)
+                by_doc = np.argsort(doc, kind="stable")
+                own = np.split((keys >> np.uint64(DOC_BITS))[by_doc], np.cumsum(n)[:-1])
+                digests = b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own)
+                ids = batch.column("doc_id")
+                known = np.array([x is not None for x in ids.to_pylist()], bool)
+                about = np.array([len(texts)], np.int64).tobytes() + ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + known.tobytes() + n.tobytes() + digests
+                short = keys >> np.uint64(64 - bits)
+                first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
+                many = np.diff(np.append(first, len(short)))
+                local = np.repeat(many > 1, many)
+                code = np.where(many > 1, BATCH_CODES + many, doc[first]).astype(np.uint16)
+                rows = [(shards + name % shards, name, 0, about)]
+                if local.any():
+                    rows.append((shards + name % shards, name, 2, _pack(short[local], doc[local])))
+                distinct = short[first]
+                cuts = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
+                rows += [(s, name, 1, _pack(distinct[a:b], code[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "batch", "kind", "blob"])
 
     return docs.mapInArrow(run, _ROUTED)
 
 
 def _count_shard(rows: pd.DataFrame) -> pd.DataFrame:
     """Of a shard: for each batch the shingles that several documents hold, with how many do."""
-    about = rows[rows.kind == 0]
+    about = rows[rows.kind != 1]
     rows = rows[rows.kind == 1]
     if not len(rows):
         return about
     parts = [_unpack(b, np.uint16) for b in rows.blob]
-    ids, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    ids, code = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     batch = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     del parts
     order = np.argsort(ids, kind="stable")
     ranked = ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    size = np.diff(np.append(starts, len(ranked)))
+    many = np.where(code < BATCH_CODES, 1, code.astype(np.int64) - BATCH_CODES)
     held = np.empty(len(ids), np.uint32)
-    held[order] = np.repeat(size, size)
+    held[order] = np.repeat(np.add.reduceat(many[order], starts), np.diff(np.append(starts, len(ranked))))
     keep = held > 1
-    ids, doc, batch, held = ids[keep], doc[keep], batch[keep], held[keep]
+    ids, code, batch, held = ids[keep], code[keep], batch[keep], held[keep]
     cuts = np.searchsorted(batch, np.arange(len(rows) + 1))
-    blobs = [_pack(ids[a:b], doc[a:b], held[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    blobs = [_pack(ids[a:b], code[a:b], held[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
     out = rows.assign(blob=blobs)[np.diff(cuts) > 0]
     return pd.concat([about, out]) if len(about) else out
 
 
 def _finish_batch(rows: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a batch: set size, class key, shared shingles, and the prefix's part of these."""
-    about = rows[rows.kind == 0].blob.iloc[0]
+    """The documents of a batch: number of the row, set size, class key, shared shingles, and the prefix's part of these."""
+    about, name = rows[rows.kind == 0].blob.iloc[0], int(rows.batch.iloc[0])
     count = int(np.frombuffer(about, np.int64, 1)[0])
     doc_ids = np.frombuffer(about, np.int64, count, 8)
     known = np.frombuffer(about, bool, count, 8 + 8 * count)
@@ -229,6 +248,13 @@ def _finish_batch(rows: pd.DataFrame) -> pd.DataFrame:
     ids = np.concatenate([p[0] for p in parts] or [empty])
     doc = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.uint16)])
     held = np.concatenate([p[2] for p in parts] or [np.zeros(0, np.uint32)])
+    for blob in rows[rows.kind == 2].blob:
+        here, who = _unpack(blob, np.uint16)
+        several = np.flatnonzero(doc >= BATCH_CODES)
+        several = several[np.argsort(ids[several])]
+        total = held[several][np.searchsorted(ids[several], here)]
+        single = doc < BATCH_CODES
+        ids, doc, held = np.concatenate([ids[single], here]), np.concatenate([doc[single], who]), np.concatenate([held[single], total])
     order = np.lexsort((ids, held, doc))
     ids, held = ids[order], held[order]
     ends = np.cumsum(np.bincount(doc, minlength=count))
@@ -244,7 +270,7 @@ def _finish_batch(rows: pd.DataFrame) -> pd.DataFrame:
             prefix, nu = _thin(own[:want]), _thin(np.sort(own))
             heavy = float(held[a : a + want].sum())
             light = float(sum(math.comb(b - a, least_overlap(size, m)) for m in partner_sizes(size))) if size <= MOST_LIGHT else math.inf
-        out.append((int(doc_ids[k]) if known[k] else None, size, int(keys[k, 0]), int(keys[k, 1]), nu, prefix, min(light, 1e300), heavy))
+        out.append((name << DOC_BITS | k, int(doc_ids[k]) if known[k] else None, size, int(keys[k, 0]), int(keys[k, 1]), nu, prefix, min(light, 1e300), heavy))
     return pd.DataFrame(out, columns=[x.split()[0] for x in _SETS.split(", ")]).astype({"doc_id": "Int64"})
 
 
@@ -273,7 +299,9 @@ def signatures(nu: np.ndarray, prefix: np.ndarray, n: int, boundary: int) -> lis
 def overlap_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar, counted exactly over their shared shingles."""
     pairs = C.cut(pairs, per_core=1)
-    needed = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), per_core=1)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("x"), F.lit(0).alias("y")), F.struct(F.col("b").alias("node"), F.lit(0).alias("x"), F.lit(1).alias("y")))).alias("e")
+    counts = C.cut(pairs.select(ends).groupBy("e.node").agg(F.sum("e.x").alias("k_a"), F.sum("e.y").alias("k_b")), per_core=1)
+    needed = counts.select("node")
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
     sets = sets.select("node", "n", "nu").join(needed, "node", "left_semi")
@@ -293,7 +321,10 @@ def overlap_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DEN * common >= NUM * (n_a + n_b - common))
             yield f.loc[keep, ["a", "b"]]
 
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    # A hub is in as many pairs as its lists are long.
+    met = C.hot_join(pairs, left, "a", "k_a", "b", counts=counts.select(F.col("node").alias("a"), "k_a"))
+    met = C.hot_join(met, right, "b", "k_b", "a", counts=counts.select(F.col("node").alias("b"), "k_b"))
+    return met.select("a", "b", "n_a", "n_b", "nu_a", "nu_b").mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,11 +348,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+def _sizes(comp: DataFrame) -> DataFrame:
+    """(comp, size): how many nodes each component of several has."""
+    return C.cut(comp.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1"), per_core=1)
+
+
+def _merged(comp: DataFrame, sizes: DataFrame, links: DataFrame) -> DataFrame:
     """Components after the links (a, b) between nodes are added."""
     ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
     new = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return C.cut(comp.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), per_core=1)
+    return C.cut(C.hot_join(comp, new, "comp", "size", "node", "left", sizes).select("node", F.coalesce("to", "comp").alias("comp")), per_core=1)
 
 
 def link_classes(sets: DataFrame) -> DataFrame:
@@ -338,8 +374,8 @@ def link_classes(sets: DataFrame) -> DataFrame:
     C.small_batches(sets.sparkSession, 10 * PAIR_ROWS)
     every = sets.select("node", "n", "nu", "prefix").mapInPandas(run, "sig long, node long, n int, rest int")
     lists = C.cut(every, per_core=1)
-    shared = lists.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-    lists = C.cut(lists.join(shared, "sig", "left_semi"), per_core=1)
+    shared = C.cut(lists.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1"), per_core=1)
+    lists = C.cut(C.hot_join(lists, shared, "sig", "k", "node"), per_core=1)
     comp = C.cut(lists.select("node").distinct().withColumn("comp", F.col("node")), per_core=1)
 
     def possible(n, rest, other_n, other_rest):
@@ -348,26 +384,33 @@ def link_classes(sets: DataFrame) -> DataFrame:
         return near & (F.least(rest, other_rest).cast("long") * (NUM + DEN) >= (F.col(n).cast("long") + F.col(other_n)) * NUM)
 
     for step in itertools.count():
-        sized = comp.join(comp.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+        sizes = _sizes(comp)
+        sized = C.hot_join(comp, sizes, "comp", "size", "node", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         placed = lists.join(sized, "node")
         # Hubs are the sets with most left of them, and by turns the largest component's.
         order = F.struct(-F.col("size"), F.xxhash64("node", F.lit(step))) if step % 2 else F.struct(-F.floor(F.col("rest") * 64 / F.col("n")), F.xxhash64("node", F.lit(step)))
-        split = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(order.alias("h"), "node", "n", "rest", "comp")).alias("hub")).where("low <> high")
+        split = placed.groupBy("sig").agg(F.max("k").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(order.alias("h"), "node", "n", "rest", "comp")).alias("hub")).where("low <> high")
         if step < HUB_ROUNDS:
-            met = placed.join(split.select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest"), F.col("hub.comp").alias("hub_comp")), "sig").where((F.col("comp") != F.col("hub_comp")) & possible("n", "rest", "hub_n", "hub_rest"))
+            hubs = C.cut(split.select("sig", "k", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest"), F.col("hub.comp").alias("hub_comp")), per_core=1)
+            met = C.hot_join(placed.drop("k"), hubs, "sig", "k", "node").where((F.col("comp") != F.col("hub_comp")) & possible("n", "rest", "hub_n", "hub_rest"))
             pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            open_lists = C.cut(placed.join(split.select("sig"), "sig", "left_semi"), per_core=1)
-            other = open_lists.select("sig", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("rest").alias("o_rest"), F.col("comp").alias("o_comp"))
-            pairs = open_lists.join(other, "sig").where((F.col("node") < F.col("o")) & (F.col("comp") != F.col("o_comp")) & possible("n", "rest", "o_n", "o_rest")).select(F.col("node").alias("a"), F.col("o").alias("b"))
+            # Long lists are cut into tiles, and each pair of tiles meets apart.
+            open_lists = C.hot_join(placed.drop("k"), C.cut(split.select("sig", "k"), per_core=1), "sig", "k", "node")
+            tiles = F.ceil(F.col("k") / TILE).cast("int")
+            open_lists = C.cut(open_lists.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")), per_core=1)
+            one = open_lists.select("sig", "node", "n", "rest", "comp", F.col("tile").alias("i"), F.explode(F.expr("sequence(tile, tiles - 1)")).alias("j"))
+            other = open_lists.select("sig", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("rest").alias("o_rest"), F.col("comp").alias("o_comp"), F.explode(F.expr("sequence(0, tile)")).alias("i"), F.col("tile").alias("j"))
+            pairs = one.join(other, ["sig", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("node") < F.col("o"))) & (F.col("comp") != F.col("o_comp")) & possible("n", "rest", "o_n", "o_rest"))
+            pairs = pairs.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
         links = C.cut(overlap_links(pairs.distinct(), sets), per_core=1)
-        comp = _merged(comp, links)
+        comp = _merged(comp, sizes, links)
         if step >= HUB_ROUNDS:
             return comp
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key_a, key_b, nu, prefix, light, heavy) for each row of ``docs`` (doc_id, text)."""
+    """(row, doc_id, n, key_a, key_b, nu, prefix, light, heavy) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     C.small_batches(spark, BATCH)
     docs = C.pick(docs, "doc_id", "text")
@@ -386,16 +429,19 @@ def similar_components(docs: DataFrame) -> DataFrame:
     texts have no shingles and no links. A null doc_id stays null. Repeated rows are linked as
     any equal texts are; other columns are ignored.
     """
-    rows = shingle_sets(docs).withColumn("node", F.when(F.col("n") > 0, F.xxhash64("key_a", "key_b", "n")))
+    rows = shingle_sets(docs)
+    # A class is named by its first row; equal sets agree in their size and 128 bits of digest.
+    key, node = ["key_a", "key_b", "n"], F.min("row").alias("node")
     # A null prefix means that the set has a partner only among its equals.
-    sets = rows.where("nu IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("nu").alias("nu"), F.first("prefix").alias("prefix"), F.first("light").alias("light"), F.first("heavy").alias("heavy"))
-    sets = C.cut(sets, per_core=8)
+    sets = rows.where("nu IS NOT NULL").groupBy(*key).agg(node, F.first("nu").alias("nu"), F.first("prefix").alias("prefix"), F.first("light").alias("light"), F.first("heavy").alias("heavy"))
+    sets = C.cut(sets.drop("key_a", "key_b"), per_core=8)
     comp = link_classes(sets)
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
-    placed = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("k").alias("k")).where("k > 1")
-    shared = placed.join(lowest.select("comp", "component_id"), "comp").select("node", "component_id")
-    return rows.join(shared, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = rows.where("n > 0").groupBy(*key).agg(node, F.min("doc_id").alias("least"), F.count("*").alias("k"))
+    placed = C.cut(classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), per_core=1)
+    lowest = C.cut(placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("k").alias("rows"), F.count("*").alias("classes")).where("rows > 1"), per_core=1)
+    shared = C.cut(C.hot_join(placed, lowest, "comp", "classes", "node").select(*key, "k", "component_id"), per_core=1)
+    found = C.hot_join(rows.select("row", "doc_id", *key), shared, key, "k", "row", "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
