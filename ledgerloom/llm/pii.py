@@ -45,10 +45,15 @@ PATTERNS = {
     "person": rf"(?:\b|(?=[ДП]))(?:{EITHER}) {RANKS}{FULL}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What numbers of every type begin with: a digit, then at least five of their digits and separators.
+_NUMBER = "[0-9][0-9 ()./-]{5}"
 #: Type -> what each entity of it holds, and a cheap pattern for all: a text without any of these holds no entity.
-HINTS = {"email": "@", "phone": "[0-9]", "access_key": "AKIA|ASIA", "password": "password=", "secret": "[0-9a-f]{32}", "ip": "[0-9]", "card": "[0-9]", "ssn": "[0-9]", "person_m": rf"(?:{MEN}) ", "person_f": rf"(?:{WOMEN}) ", "person": rf"(?:{EITHER}) "}
+HINTS = {"email": "@", "phone": _NUMBER, "access_key": "AKIA|ASIA", "password": "password=", "secret": "[0-9a-f]{32}", "ip": _NUMBER, "card": _NUMBER, "ssn": _NUMBER, "person_m": rf"(?:{MEN}) ", "person_f": rf"(?:{WOMEN}) ", "person": rf"(?:{EITHER}) "}
 HINT = "|".join(dict.fromkeys(HINTS[kind] for kind in PATTERNS))
 
+#: Stands around entities while a text is cut; texts that hold it are cut the slow way.
+MARK = "\ue000\ue001\ue002"
+
 #: Names by gender and script. Fixed values.
 NAMES = {
     ("person_m", "latin"): "Adam Bruno Carl David Erik Felix Georg Henri Ivan Jonas Karl Louis Marco Nils Oskar Paul".split(),
@@ -198,21 +203,27 @@ def replace_entities(docs: DataFrame, key: str, counts: bool = False) -> DataFra
     """
     names = docs.columns
     own = docs.select(*(F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(names)), F.col("text"))
-    found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    has = F.coalesce(F.size(found) > 0, F.lit(False))
-    held = C.cut(own.where(has).withColumn("entities", found).withColumn("row_key", F.monotonically_increasing_id()))
+    # One search cuts a text into what is between entities and, at odd places, the entities.
+    parts = F.split(F.regexp_replace("text", f"({ANY})", rf"{MARK}$1{MARK}"), MARK, -1)
+    twice = F.flatten(F.zip_with(F.split("text", ANY, -1), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda a, b: F.array_compact(F.array(a, b))))
+    parts = F.when(F.col("text").rlike(HINT), F.when(F.col("text").contains(MARK), twice).otherwise(parts))
+    has = F.coalesce(F.size(parts) > 1, F.lit(False))
+    # The row's number in the same projection keeps the filter above it, so that the search runs once.
+    held = own.withColumns({"parts": parts, "row_key": F.monotonically_increasing_id()}).where(F.size("parts") > 1).drop("text", f"own_{names.index('text')}")
+    held = C.cut(held.withColumn("entities", F.filter("parts", lambda x, i: i % 2 == 1)))
     seen = held.select("row_key", F.explode(F.array_distinct("entities")).alias("value"))
-    values = seen.select("value").distinct().withColumn("kind", F.coalesce(kind_of(F.col("value")), F.lit("other")))
-    parts = C.cut(values.select("kind", "value", F.explode(parts_of(F.col("kind"), F.col("value"))).alias("part")), per_core=1)
-    known = surrogates(parts.select("kind", F.col("part").alias("value")).distinct(), key).select("kind", F.col("value").alias("part"), F.col("surrogate").alias("own"))
+    values = C.cut(seen.groupBy("value").agg(F.count("*").alias("k")).withColumn("kind", F.coalesce(kind_of(F.col("value")), F.lit("other"))), per_core=1)
+    of_value = C.cut(values.select("kind", "value", "k", F.explode(parts_of(F.col("kind"), F.col("value"))).alias("part")), per_core=1)
+    each = C.cut(of_value.groupBy("kind", F.col("part").alias("value")).agg(F.count("*").alias("n")), per_core=1)
+    known = surrogates(each.select("kind", "value"), key).select("kind", F.col("value").alias("part"), F.col("surrogate").alias("own"))
     pair = F.struct("part", "own")
-    mapped = parts.join(known, ["kind", "part"]).groupBy("kind", "value").agg(F.map_from_entries(F.collect_list(pair)).alias("m"), F.collect_list(F.when(F.col("kind").startswith("person"), pair)).alias("people"))
-    mentions = C.cut(mapped.select("kind", "value", rendered(F.col("kind"), F.col("value"), F.col("m")).alias("surrogate"), "people"), per_core=1)
-    maps = seen.join(mentions, "value").groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("map"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("people")))).alias("people"))
+    # A name may be a part of very many full names, and a value may be in very many texts.
+    mapped = C.hot_join(of_value, known, ["kind", "part"], "n", "value", counts=each.withColumnRenamed("value", "part")).groupBy("kind", "value", "k").agg(F.map_from_entries(F.collect_list(pair)).alias("m"), F.collect_list(F.when(F.col("kind").startswith("person"), pair)).alias("people"))
+    mentions = C.cut(mapped.select("kind", "value", "k", rendered(F.col("kind"), F.col("value"), F.col("m")).alias("surrogate"), "people"), per_core=1)
+    maps = C.hot_join(seen, mentions, "value", "k", "row_key").groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("map"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("people")))).alias("people"))
     joined = held.join(maps, "row_key")
     bare = lambda text: F.aggregate("people", text, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{M}])"), p["part"], F.lit(r"(?![\p{L}\p{M}])")), p["own"]))
-    between = F.transform(F.split("text", ANY, -1), lambda a: F.when(F.size("people") > 0, bare(a)).otherwise(a))
-    pieces = F.zip_with(between, F.transform("entities", lambda e: F.element_at("map", e)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.transform("parts", lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at("map", x), F.lit(""))).when(F.size("people") > 0, bare(x)).otherwise(x))
     changed = joined.withColumn("new_text", F.array_join(pieces, "")).withColumn("n_entities", F.size("entities").cast("long"))
     plain = own.where(~has).withColumns({"new_text": F.col("text"), "n_entities": F.lit(0).cast("long"), "kinds": F.lit("")})
     columns = [(F.col("new_text") if c == "text" else F.length("new_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"own_{k}")).alias(c) for k, c in enumerate(names)]

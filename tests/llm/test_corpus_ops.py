@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard_join, line_dedup, pii, quality_lm, topk_search, toxicity
@@ -357,6 +358,36 @@ def test_forms_and_coreference(spark):
     assert text[5] != texts[5] and set(pii.HINTS) == set(pii.PATTERNS)
 
 
+def test_replacement_against_a_plain_version(spark):
+    """A plain search by the same patterns: the same entities, all else as it was, one distinct surrogate for each."""
+    rng = random.Random(15)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    makers = [
+        lambda: f"{rng.choice('abc')}{rng.randint(1, 9)}@m{rng.randint(1, 5)}.example.com", lambda: f"+1 (555) 555-{rng.randint(0, 30):04}", lambda: f"AKIA{'ABCDEFGHIJKLMNO'}{rng.choice('PQR')}", lambda: f"password={hexa(8)}",
+        lambda: hexa(40), lambda: ".".join(str(rng.randint(1, 12)) for _ in range(4)), lambda: f"4111 1111 1111 {rng.randint(1000, 1020)}", lambda: f"{rng.randint(100, 120)}-45-6789",
+    ]
+    words = [*prose(rng, 40).split(), "2024", "1.5", "12-13", "\n", pii.MARK]
+    texts = [" | ".join(rng.choice(words) if rng.random() < 0.8 else rng.choice(makers)() for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    texts += [f"host 9.9.9.9 {k}" for k in range(700)] + ["x " * 50_000 + "9.9.9.9", texts[0], texts[1]]
+    rows = {r["doc_id"]: r for r in pii.replace_entities(docs(spark, texts), "k", counts=True).collect()}
+    any_ = regex.compile(pii.ANY)
+    made: dict = {}
+    for k, text in enumerate(texts):
+        found = [m for m in any_.finditer(text)]
+        assert rows[k]["n_entities"] == len(found)
+        ends = [0, *(m.end() for m in found)]
+        between = [text[a:b] for a, b in zip(ends, [*(m.start() for m in found), len(text)])]
+        if not found:
+            assert rows[k]["text"] == text
+            continue
+        got = re.fullmatch("(.+?)".join(map(re.escape, between)), rows[k]["text"], re.S)
+        kinds = {next(kind for kind, p in pii.PATTERNS.items() if regex.fullmatch(p, m[0])) for m in found}
+        assert got and rows[k]["kinds"] == ",".join(sorted(kinds))
+        for m, new in zip(found, got.groups()):
+            assert made.setdefault(m[0], new) == new != m[0]
+    assert len(made) > 100 and len(set(made.values())) == len(made) and not set(made) & set(made.values())
+
+
 # -- quality model
 
 
