@@ -1,9 +1,9 @@
 """Decoding logs and calls into typed tables.
 
-Which decoder a log takes is a join on (topic0, emitter). Parameters of fixed width are cut
-out of the hex text by built-in functions where every one of them is an address, a bool, fixed
-bytes or a number of at most 64 bits; anything else is decoded in Arrow batches, with Python's
-integers, because numbers of 256 bits have no other exact form here.
+Which decoder a log takes is a join with the registry on (topic0, emitter), in one scan for all of
+them. Parameters of fixed width are cut out of the hex text by built-in functions, numbers of 256
+bits included: those beyond DECIMAL are carried through limbs of nine digits. Only events with
+arrays, tuples, text or bytes are decoded value by value in Python.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import sequence_key
@@ -161,8 +161,43 @@ def _with_chain(df: DataFrame, decoder: Decoder, extra: list[str]) -> DataFrame:
     return df.select(*CHAIN, F.lower("address").alias("address"), sequence_key(F.col("block_number"), F.col("log_index")).alias("_seq"), F.lit(decoder.table).alias("table"), *(F.col(f"`{c}`") for c in extra))
 
 
+_NUMBER = re.compile(r"(u?)int\d+")
+
+
 def _fixed_only(decoder: Decoder) -> bool:
-    return all(p.kind in ("address", "bool", "fixed_bytes", "u64", "hash32") for p in decoder.params)
+    return all(p.kind in ("address", "bool", "fixed_bytes", "hash32") or _NUMBER.fullmatch(p.sol_type) for p in decoder.params)
+
+
+def _limbs(raw: Column, negative: Column) -> Column:
+    """The decimal digits of a 256-bit word of any size: its limbs of 32 bits carried through limbs of nine digits."""
+    inverse = F.translate(raw, "0123456789abcdef", "fedcba9876543210")
+    limbs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(F.when(negative, inverse).otherwise(raw), i * 8 + 1, F.lit(8)), 16, 10).cast("long") + F.when(negative & (i == 7), 1).otherwise(0))
+    base, nines = F.lit(1 << 32).cast("long"), F.lit(10**9).cast("long")
+    none = F.array().cast("array<bigint>")
+
+    def carry(digits: Column, limb: Column) -> Column:
+        def step(a: Column, d: Column) -> Column:
+            total = d * base + a["c"]
+            return F.struct(F.call_function("div", total, nines).alias("c"), F.concat(a["o"], F.array(total % nines)).alias("o"))
+
+        return F.aggregate(digits, F.struct(limb.alias("c"), none.alias("o")), step, lambda a: a["o"])
+
+    digits = F.aggregate(limbs, F.array(*[F.lit(0).cast("long")] * 9), carry)
+    text = F.array_join(F.transform(F.reverse(digits), lambda d: F.lpad(d.cast("string"), 9, "0")), "")
+    return F.concat(F.when(negative, "-").otherwise(""), F.regexp_replace(text, "^0+(?!$)", ""))
+
+
+def number_text(raw: Column, signed: bool) -> Column:
+    """A 256-bit word (64 lower-case hex digits) in decimal: in 64 bits or DECIMAL where it fits, else by limbs."""
+    low = F.substring(raw, 49, 16)
+    small = F.when(F.substring(raw, 1, 48) == "0" * 48, F.conv(low, 16, 10))
+    if signed:
+        small = small.when((F.substring(raw, 1, 48) == "f" * 48) & (low >= "8"), F.conv(low, 16, -10))
+    high = F.conv(F.substring(raw, 33, 16), 16, 10).cast("decimal(20,0)")
+    # Below 2 ** 124 both halves and their sum are exact in 38 digits.
+    middle = (high * F.lit(str(2**64)).cast("decimal(20,0)") + F.conv(low, 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    small = small.when(F.substring(raw, 1, 33) == "0" * 33, middle)
+    return small.otherwise(_limbs(raw, F.substring(raw, 1, 1) >= "8" if signed else F.lit(False)))
 
 
 def _builtin(decoder: Decoder, logs: DataFrame) -> DataFrame:
@@ -181,12 +216,20 @@ def _builtin(decoder: Decoder, logs: DataFrame) -> DataFrame:
             value = F.when(F.substring(raw, 63, 2) == "00", "false").otherwise("true")
         elif p.kind == "u64":
             value = F.when(F.substring(raw, 1, 48) == "0" * 48, F.conv(F.substring(raw, 49, 16), 16, 10)).otherwise(str(2**64 - 1))
+        elif p.kind == "i64":
+            low, above = F.substring(raw, 49, 16), F.substring(raw, 1, 48)
+            within = ((above == "0" * 48) & (low < "8")) | ((above == "f" * 48) & (low >= "8"))
+            value = F.when(within, F.conv(low, 16, -10)).when(raw >= "8", str(-(2**63))).otherwise(str(2**63 - 1))
+        elif number := _NUMBER.fullmatch(p.sol_type):
+            value = number_text(raw, not number[1])
         elif p.kind == "hash32":
             value = F.concat(F.lit("0x"), raw)
         else:
             value = F.concat(F.lit("0x"), F.substring(raw, 1, 2 * int(p.sol_type.removeprefix("bytes"))))
         columns[p.column] = value
     fits = (F.size("topics") == topic) & (F.length("data") >= 2 + 64 * word)
+    if any(_NUMBER.fullmatch(p.sol_type) for p in decoder.params):  # what isn't hexadecimal isn't a number
+        fits &= F.concat(F.substring("data", 3, 64 * word), *(F.substring(F.element_at("topics", k + 1), 3, 64) for k in range(1, topic))).rlike("^[0-9a-fA-F]*$")
     return _with_chain(logs.where(fits).withColumns(columns), decoder, decoder.columns)
 
 
@@ -217,14 +260,29 @@ def _decode(decoder: Decoder, logs: DataFrame) -> DataFrame:
     return _batched(decoder, logs, lambda d, topics, data: decode_log(d, list(topics), data))
 
 
+def route(registry: Registry, logs: DataFrame) -> DataFrame:
+    """``logs`` that a contract of the registry declares, with ``_table``: one scan, whatever the number of events.
+
+    The registry is a file that people write, so it is small enough for every executor.
+    """
+    known = [(d.selector, d.address, d.table) for d in registry.decoders if d.kind == "event" and d.address]
+    places = logs.sparkSession.createDataFrame(known, "_topic string, _emitter string, _table string")
+    found = logs.withColumns({"_topic": F.lower(F.element_at("topics", 1)), "_emitter": F.lower("address")})
+    return found.join(F.broadcast(places), ["_topic", "_emitter"]).drop("_topic", "_emitter")
+
+
 def decode_events(registry: Registry, logs: DataFrame) -> dict[str, DataFrame]:
-    """table -> rows of the logs that contracts of the registry emitted. Logs nobody declares are left out."""
-    out = {}
-    for d in registry.decoders:
-        if d.kind == "event" and d.address:
-            mine = logs.where((F.lower(F.element_at("topics", 1)) == d.selector) & (F.lower("address") == d.address))
-            out[d.table] = _decode(d, mine)
-    return out
+    """table -> rows of the logs that contracts of the registry emitted. Logs nobody declares are left out.
+
+    With several events, what ``route`` finds is kept, so that the logs are scanned once and each
+    table reads its own rows; drop it with ``spark.catalog.clearCache`` or at the session's end.
+    """
+    events = [d for d in registry.decoders if d.kind == "event" and d.address]
+    if len(events) == 1:
+        d = events[0]
+        return {d.table: _decode(d, logs.where((F.lower(F.element_at("topics", 1)) == d.selector) & (F.lower("address") == d.address)))}
+    routed = route(registry, logs).persist() if events else logs
+    return {d.table: _decode(d, routed.where(F.col("_table") == d.table)) for d in events}
 
 
 def decode_children(registry: Registry, logs: DataFrame, children: DataFrame, template: str) -> dict[str, DataFrame]:
@@ -235,6 +293,27 @@ def decode_children(registry: Registry, logs: DataFrame, children: DataFrame, te
     return {d.table: _decode(d, mine.where(F.lower(F.element_at("topics", 1)) == d.selector)) for d in registry.decoders if d.kind == "event" and d.address is None and d.alias == template}
 
 
+def _call_fits(decoder: Decoder) -> Column:
+    """Whether a call's data hold all of the decoder's words."""
+    return (F.length("data") >= 10 + 64 * len(decoder.params)) & (F.length("data") % 2 == 0) & F.col("data").rlike("^0x[0-9a-f]*$")
+
+
+def _call_decodes(decoder: Decoder):
+    """The same for arguments without fixed places, which only decoding tells."""
+
+    @F.pandas_udf("boolean")
+    def fits(data: pd.Series) -> pd.Series:
+        def one(x) -> bool:
+            try:
+                return bool(decode_call(decoder, x)) or True
+            except ValueError:
+                return False
+
+        return data.map(one)
+
+    return fits
+
+
 def decode_calls(registry: Registry, calls: DataFrame) -> dict[str, DataFrame]:
     """table -> rows of top-level calls (address, input and the chain's columns), and ``calls_raw`` for those of declared contracts that no decoder fits."""
     functions = [d for d in registry.decoders if d.kind == "function" and d.address]
@@ -244,11 +323,12 @@ def decode_calls(registry: Registry, calls: DataFrame) -> dict[str, DataFrame]:
     for d in functions:
         own = (F.substring("data", 1, 10) == d.selector) & (F.lower("address") == d.address)
         out[d.table] = _batched(d, mine.where(own), lambda d, _, data: decode_call(d, data))
-    decoded = None
-    for table in out.values():
-        keys = table.select("block_number", "log_index")
-        decoded = keys if decoded is None else decoded.unionByName(keys)
-    raw = raw if decoded is None else raw.join(decoded, ["block_number", "log_index"], "left_anti")
+    # A decoder fails on calls of its own alone, so only these are looked at a second time, by their shape.
+    fits = F.lit(False)
+    for d in functions:
+        own = (F.substring("data", 1, 10) == d.selector) & (F.lower("address") == d.address)
+        fits |= own & (_call_fits(d) if _fixed_only(d) else _call_decodes(d)(F.col("data")))
+    raw = raw.where(~fits)
     out["calls_raw"] = raw.select(*CHAIN, F.lower("address").alias("address"), sequence_key(F.col("block_number"), F.col("log_index")).alias("_seq"), F.lit("calls_raw").alias("table"), F.substring("data", 1, 10).alias("selector"), F.col("data").alias("input"))
     return out
 

@@ -42,6 +42,7 @@ class Segment:
     to_block: int
     rows: int
     file: str
+    columns: list[str] | None = None
 
 
 @dataclass
@@ -152,19 +153,34 @@ class Store:
                 ordered.write.parquet(f"{self.shared}/{part}")
                 if not self.shared_files.move(part, name):
                     self.shared_files.delete(part)
-            held.append(Segment(key, first, last, count, name))
+            held.append(Segment(key, first, last, count, name, rows.columns))
         if advance:
             state.sealed_through = max(state.sealed_through, last)
         return self._commit(state)
 
-    def seal_and_prune(self, ceiling: int, names: dict[str, list[str]]) -> State:
-        """Hot rows up to the ceiling become segments; then they leave the hot side and the watermark moves, in one commit."""
+    def seal_and_prune(self, ceiling: int, names: dict[str, list[str]], size: int | None = None) -> State:
+        """Hot rows up to the ceiling become segments; then they leave the hot side and the watermark moves, in one commit.
+
+        With ``size`` only whole ranges of ``seal_cuts`` over the rows of all tables are sealed, a segment for
+        each; what comes after the last one stays hot. Segments then don't depend on when sealing ran.
+        """
         state = self.state()
         if ceiling <= state.sealed_through:
             return state
         hot = {t: self.hot(t, names[t]) for t in state.hot if t in names}
         first = state.sealed_through + 1
-        self.seal(self.spark, hot, first, ceiling)
+        ranges = [(first, ceiling)]
+        if size is not None:
+            blocks = None
+            for df in hot.values():
+                own = df.where(F.col("block_number").between(first, ceiling)).select("block_number")
+                blocks = own if blocks is None else blocks.unionByName(own)
+            ends = sorted(r["last_block"] for r in seal_ranges(blocks, size, sum(s.rows for held in state.tables.values() for s in held)).collect()) if blocks is not None else []
+            if not ends:
+                return state
+            ranges, ceiling = list(zip([first, *(e + 1 for e in ends)], ends)), ends[-1]
+        for a, b in ranges:
+            self.seal(self.spark, hot, a, b)
         state = self.state()
         for table, df in hot.items():
             state.hot[table] = self._rewrite(table, df.where(F.col("block_number") > ceiling))
@@ -185,7 +201,7 @@ class Store:
         by_columns: dict[tuple, list[str]] = {}
         for s in found:
             path = f"{self.shared}/{s.file}"
-            by_columns.setdefault(tuple(self.spark.read.parquet(path).columns), []).append(path)
+            by_columns.setdefault(tuple(sorted(s.columns or self.spark.read.parquet(path).columns)), []).append(path)
         out = None
         for paths in by_columns.values():
             part = conform(self.spark.read.parquet(*paths), names)
@@ -284,17 +300,37 @@ def union_view(cold: DataFrame | None, hot: DataFrame, sealed_through: int | Non
     return cold.unionByName(fresh, allowMissingColumns=True)
 
 
+def running_counts(rows: DataFrame, n: str = "n") -> DataFrame:
+    """(block_number, n, before): rows of each block, and how many there are in earlier blocks.
+
+    Blocks are dealt by ranges; each range's total, one row a partition, is added to running counts within it.
+    """
+    from pyspark.sql import Window
+
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.groupBy("block_number").agg(F.count("*").alias(n)).repartitionByRange(parts, "block_number").withColumn("_part", F.spark_partition_id()).persist()
+    totals = ordered.groupBy("_part").agg(F.sum(n).alias("_total"))
+    earlier = totals.select("_part", (F.sum("_total").over(Window.orderBy("_part")) - F.col("_total")).alias("_earlier"))
+    within = F.sum(n).over(Window.partitionBy("_part").orderBy("block_number")) - F.col(n)
+    return ordered.withColumn("_within", within).join(F.broadcast(earlier), "_part").select("block_number", n, (F.col("_earlier") + F.col("_within")).alias("before"))
+
+
 def seal_cuts(rows: DataFrame, size: int = SEAL_ROWS) -> DataFrame:
     """(first_block, last_block, rows): ranges of at least ``size`` rows that end where a block ends.
 
     Only counts by block are looked at. A range ends with the first block at which the running
     count passes a multiple of the size, so ranges don't depend on how rows were fetched.
     """
-    from pyspark.sql import Window
+    part = F.floor(F.col("before") / F.lit(size)).alias("part")
+    return running_counts(rows).groupBy(part).agg(F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"), F.sum("n").alias("rows")).drop("part")
+
 
-    counts = rows.groupBy("block_number").agg(F.count("*").alias("n"))
-    running = counts.withColumn("before", F.sum("n").over(Window.orderBy("block_number")) - F.col("n"))
-    return running.groupBy(F.floor(F.col("before") / F.lit(size)).alias("part")).agg(F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"), F.sum("n").alias("rows")).drop("part")
+def seal_ranges(rows: DataFrame, size: int, sealed: int = 0) -> DataFrame:
+    """The ranges of ``seal_cuts``, counted from ``sealed`` rows before these, that later rows can't change."""
+    runs = running_counts(rows).withColumn("before", F.col("before") + F.lit(sealed))
+    cuts = runs.groupBy(F.floor(F.col("before") / F.lit(size)).alias("part")).agg(F.max("block_number").alias("last_block"), F.max(F.col("before") + F.col("n")).alias("after"))
+    return cuts.where(F.col("after") >= (F.col("part") + 1) * size).select("last_block")
 
 
 def declared_names(decoder, timestamps: bool = True) -> list[str]:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.store import FinalityFault, Store
+from ledgerloom.sources.store import FinalityFault, Store, running_counts
 
 OUTBOX_ROWS = 10_000
 COLD_START = 5_000
@@ -128,9 +128,40 @@ def check_late(dataset: Dataset, logs: DataFrame) -> None:
         raise dataset.fault
 
 
-def for_each_batch(datasets: list[Dataset], hashes: Callable[[DataFrame], dict[int, str]]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: one fetch feeds all datasets. A dataset that fails is set aside; the others go on,
-    and the stream stops when none is left."""
+@dataclass
+class Chain:
+    """What the source now says: hashes of blocks, and the logs of a range of blocks."""
+
+    hashes: Callable[[list[int]], dict[int, str]]
+    logs: Callable[[int, int], DataFrame]
+
+
+def follow_reorg(dataset: Dataset, chain: Chain) -> DataFrame | None:
+    """Take back what the chain no longer holds, and return the logs that it holds instead up to the cursor; None if all is as it was.
+
+    Checkpoints are one for each window above the watermark and one below, so few. Where the chain
+    differs below the watermark too, taking back is a fault.
+    """
+    state = dataset.store.state()
+    held = {int(b): h for b, h in state.checkpoints.items()}
+    final = [b for b in held if b <= state.sealed_through]
+    seen = {b: h for b, h in held.items() if b > state.sealed_through or b == max(final)}
+    now = chain.hashes(sorted(seen)) if seen else {}
+    if all(now.get(b) == h for b, h in seen.items()):
+        return None
+    point = max((b for b, h in seen.items() if now.get(b) == h), default=max(state.sealed_through, 0) - 1 if final else 0)
+    top = state.cursor
+    revert_to(dataset, point)
+    return chain.logs(point + 1, top) if top > point else None
+
+
+def for_each_batch(datasets: list[Dataset], hashes: Callable[[DataFrame], dict[int, str]], chain: Chain | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: one fetch feeds all datasets. A dataset that fails, for whatever reason, is set
+    aside with its fault; the others go on, and the stream stops when none is left.
+
+    With ``chain`` each batch first looks whether the blocks of earlier windows are still the chain's: what
+    isn't is taken back, and its blocks are applied anew together with the batch.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -143,11 +174,12 @@ def for_each_batch(datasets: list[Dataset], hashes: Callable[[DataFrame], dict[i
                 if d.fault is not None:
                     continue
                 try:
-                    check_late(d, batch)
-                    apply_window(d, batch, seen, int(top), number)
-                except FinalityFault:
-                    if len(datasets) == 1:
-                        raise
+                    again = follow_reorg(d, chain) if chain and number > d.store.state().batch else None
+                    logs = batch if again is None else again.join(batch.select("block_number").distinct(), "block_number", "left_anti").unionByName(batch)
+                    check_late(d, logs)
+                    apply_window(d, logs, seen, int(top), number)
+                except Exception as e:  # noqa: BLE001  the others must go on
+                    d.fault = d.fault or e
             if datasets and all(d.fault for d in datasets):
                 raise datasets[0].fault
         finally:
@@ -182,10 +214,14 @@ class Outbox:
         done = self.spark.read.schema("id string").parquet(f"{self.path}/done") if files.exists("done") else self.spark.createDataFrame([], "id string")
         return rows.dropDuplicates(["id"]).join(done.distinct(), "id", "left_anti")
 
-    def put(self, flags: DataFrame, weight: int, key: list[str]) -> None:
-        """``flag`` for rows that came, ``flag_retracted`` for rows that were taken back."""
+    def put(self, flags: DataFrame, weight: int, key: list[str], batch: int) -> None:
+        """``flag`` for rows that came with a batch, ``flag_retracted`` for rows that one took back.
+
+        The batch is part of an alert's id: a batch that runs again adds nothing, and a flag that comes
+        back on another branch is another alert.
+        """
         kind = "flag" if weight > 0 else "flag_retracted"
-        rows = flags.select(F.sha2(F.concat_ws("|", F.lit(kind), *(F.col(c).cast("string") for c in key)).cast("binary"), 256).alias("id"), F.lit(kind).alias("kind"), F.to_json(F.struct(*flags.columns)).alias("body"))
+        rows = flags.select(F.sha2(F.concat_ws("|", F.lit(kind), F.lit(str(batch)), *(F.col(c).cast("string") for c in key)).cast("binary"), 256).alias("id"), F.lit(kind).alias("kind"), F.to_json(F.struct(*flags.columns)).alias("body"))
         if self.pending().count() + rows.count() > self.most:
             raise OverflowError(f"more than {self.most} alerts wait")
         rows.write.mode("append").parquet(f"{self.path}/rows")
@@ -206,10 +242,9 @@ def sealed_chunks(rows: DataFrame, cursor: int, sealed: int, where: str | None =
     if where:
         mine = mine.where(where)
     # Blocks get their place from counts by block; only within a block are rows numbered.
-    counts = mine.groupBy("block_number").agg(F.count("*").alias("k"))
-    before = counts.withColumn("before", F.sum("k").over(Window.orderBy("block_number")) - F.col("k")).drop("k")
+    before = running_counts(mine, "k")
     inside = F.row_number().over(Window.partitionBy("block_number").orderBy("log_index", F.to_json(F.struct(*mine.columns))))
-    placed = mine.withColumn("i", inside).join(before, "block_number").withColumn("seq", F.col("before") + F.col("i") - 1)
+    placed = mine.withColumn("i", inside).join(before.drop("k"), "block_number").withColumn("seq", F.col("before") + F.col("i") - 1)
     return placed.select(F.floor(F.col("seq") / size).alias("chunk"), "seq", F.to_json(F.struct(*mine.columns)).alias("row"))
 
 

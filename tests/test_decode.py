@@ -76,6 +76,34 @@ def test_decode_events(spark):
     assert [(r["arg0"], r["code"]) for r in f] == [("true", "0xdeadbeef")]
 
 
+def test_numbers_of_any_size(spark):
+    """Built-in decoding of 256-bit words against Python's integers, at the edges of every path."""
+    import random
+
+    rng = random.Random(1)
+    values = [0, 1, 2**63 - 1, 2**63, 2**64 - 1, 2**64, 2**123, 2**124 - 1, 2**124, 10**38 - 1, 10**38, 10**45, 2**255 - 1, 2**255, 2**256 - 1, 2**256 - 2**63, 2**256 - 2**63 - 1, 2**256 - 10**40]
+    values += [rng.getrandbits(rng.randint(1, 256)) for _ in range(60)]
+    event = [{"type": "event", "name": "N", "inputs": [{"name": "u", "type": "uint256"}, {"name": "s", "type": "int256"}, {"name": "i", "type": "int64"}, {"name": "w", "type": "uint64"}, {"name": "x", "type": "int128", "indexed": True}]}]
+    r = Registry()
+    r.add("n", event, TOKEN)
+    logs = [log(TOKEN, [topic("N(uint256,int256,int64,uint64,int128)"), "0x" + word(v)], "0x" + word(v).upper() + word(v) * 3, k) for k, v in enumerate(values)]
+    logs += [log(TOKEN, [topic("N(uint256,int256,int64,uint64,int128)"), "0x" + word(1)], "0x" + "zz" * 128, 999), log(TOKEN, [topic("N(uint256,int256,int64,uint64,int128)"), "0x" + word(1)], "0x" + word(1) * 3, 999)]
+    assert D._fixed_only(r.decoders[0])
+    got = {x["block_number"]: x for x in D.decode_events(r, spark.createDataFrame(logs, D.LOG_SCHEMA))["n__n"].collect()}
+    assert sorted(got) == list(range(len(values)))
+    for k, v in enumerate(values):
+        want = D.decode_log(r.decoders[0], logs[k][1], logs[k][2])
+        assert {c: got[k][c] for c in want} == want, v
+
+
+def test_one_scan_for_all_events(spark):
+    r = registry()
+    logs = spark.createDataFrame([log(TOKEN, [topic("Flag(bool,bytes4)")], "0x" + word(1) + word(0)), log(TOKEN, [topic("Nobody()")], "0x"), log(MAKER, [topic("Flag(bool,bytes4)")], "0x")], D.LOG_SCHEMA)
+    assert [x["_table"] for x in D.route(r, logs).collect()] == ["token__flag"]
+    tables = D.decode_events(r, logs)
+    assert len(tables) == 3 and all("InMemory" in t._jdf.queryExecution().executedPlan().toString() for t in tables.values())
+
+
 def test_decode_calls(spark):
     rows = [
         (TOKEN, "0xa9059cbb" + word(2) + word(9), 1, "0xb", 1, "0xt", 750_000),

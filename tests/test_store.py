@@ -82,6 +82,46 @@ def test_late_rows_stop_the_stream(spark, tmp_path):
     assert isinstance(d.fault, FinalityFault)
 
 
+def test_a_failing_dataset_is_set_aside(spark, tmp_path):
+    good = ingest.Dataset(Store(spark, str(tmp_path / "a")), lambda logs: {"t": logs}, T)
+    bad = ingest.Dataset(Store(spark, str(tmp_path / "b")), lambda logs: {"t": logs.select("missing")}, T)
+    run = ingest.for_each_batch([bad, good], lambda batch: {})
+    run(rows(spark, [1]), 0)
+    run(rows(spark, [2]), 1)
+    assert bad.fault is not None and good.fault is None and blocks_of(good.store.view("t", NAMES)) == [1, 2]
+
+
+def test_a_batch_follows_a_reorganisation(spark, tmp_path):
+    told = []
+    d = ingest.Dataset(Store(spark, str(tmp_path)), lambda logs: {"t": logs}, T, on_change=[lambda tables, w: told.append((w, sorted(r["block_number"] for r in tables["t"].collect())))])
+    now = {2: "h2", 4: "h4"}
+    chain = ingest.Chain(lambda blocks: {b: now[b] for b in blocks if b in now}, lambda a, b: rows(spark, [x for x in (3, 4) if a <= x <= b]))
+    top = lambda batch: (lambda m: {m: now.get(m, f"h{m}")})(batch.agg(F.max("block_number")).first()[0])
+    run = ingest.for_each_batch([d], top, chain)
+    run(rows(spark, [1, 2]), 0)
+    run(rows(spark, [3, 3, 4]), 1)
+    now[4] = "other"
+    run(rows(spark, [5]), 2)
+    assert told == [(1, [1, 2]), (1, [3, 3, 4]), (-1, [3, 3, 4]), (1, [3, 4, 5])] and blocks_of(d.store.view("t", NAMES)) == [1, 2, 3, 4, 5]
+    d.store.seal_and_prune(4, T)
+    now[2] = now[4] = "gone"
+    with pytest.raises(FinalityFault):
+        run(rows(spark, [6]), 3)
+
+
+def test_segments_dont_depend_on_when_sealing_ran(spark, tmp_path):
+    blocks = [b for b in range(1, 30) for _ in range(b % 4 + 1)]
+    cuts = []
+    for name, steps in (("a", [29]), ("b", [7, 8, 19, 29])):
+        s = Store(spark, str(tmp_path / name))
+        s.commit_window({"t": rows(spark, blocks)}, {}, 29, 0)
+        for ceiling in steps:
+            s.seal_and_prune(ceiling, T, size=10)
+        cuts.append([(x.from_block, x.to_block, x.rows, x.hash) for x in s.segments("t")])
+        assert s.view("t", NAMES).count() == len(blocks)
+    assert len(cuts[0]) > 3 and cuts[0] == cuts[1]
+
+
 def test_stream_end_to_end(spark, tmp_path):
     import json
 
@@ -134,13 +174,18 @@ def test_ingest_pieces(spark, tmp_path):
     assert ingest.webhook_start("genesis", 9) == -1 and ingest.webhook_start("registration", 9) == 9 and ingest.webhook_start(4, 9) == 3
     box = ingest.Outbox(spark, str(tmp_path / "box"), most=2)
     flags = df.limit(1).select("block_number", "log_index")
-    box.put(flags, 1, ["block_number", "log_index"])
-    box.put(flags, -1, ["block_number", "log_index"])
+    key = ["block_number", "log_index"]
+    box.put(flags, 1, key, 1)
+    box.put(flags, -1, key, 2)
     with pytest.raises(OverflowError):
-        box.put(df.where("block_number > 3").limit(1), 1, ["block_number", "log_index"])
+        box.put(df.where("block_number > 3").limit(1), 1, key, 2)
     sent = []
     assert box.deliver(lambda kind, body: sent.append(kind) or True) == 2 and sorted(sent) == ["flag", "flag_retracted"]
     assert box.deliver(lambda *a: True) == 0
+    # The flag comes back on the new branch: a third alert; the same batch again adds none.
+    box.put(flags, 1, key, 2)
+    box.put(flags, 1, key, 2)
+    assert box.deliver(lambda kind, body: sent.append(kind) or True) == 1 and sorted(sent) == ["flag", "flag", "flag_retracted"]
     seen = spark.createDataFrame([(1, "a"), (2, "b")], "block_number long, block_hash string")
     assert ingest.reorg_point(seen, seen) is None
     assert ingest.reorg_point(seen, spark.createDataFrame([(1, "a"), (2, "x")], seen.schema)) == 1
