@@ -174,14 +174,8 @@ def hot_cold_union(spark, sf_dir):
     return store.union_view(e.where("block_number <= 500"), e.where("block_number > 400"), 500)
 
 
-@register(f"SELECT * FROM ({_PARTS}) WHERE block_number <= 300")
-def genesis_union(spark, sf_dir):
-    return store.union_view(None, _events(spark, sf_dir).where("block_number <= 300"), None)
-
-
 @register(_PARTS)
-def genesis_union_whole(spark, sf_dir):
-    """``genesis_union`` over the whole table."""
+def genesis_union(spark, sf_dir):
     return store.union_view(None, _events(spark, sf_dir), None)
 
 
@@ -313,10 +307,14 @@ def decode_transfers(spark, sf_dir):
     return rows.select("block_number", "log_index", "_seq", "address", "from", "to", "value")
 
 
-@register(f"WITH {TRANSFERS} SELECT count(*) AS n FROM t")
+@register(f"WITH {TRANSFERS} SELECT block_number, log_index FROM t WHERE block_number % 3 = 1 AND log_index % 2 = 0")
 def log_filter(spark, sf_dir):
+    """Logs of one contract and one event among three contracts and two events."""
     logs = facts.transfer_logs(spark, sf_dir)
-    return decode.log_filter(logs, [facts.TOKEN.upper().replace("0X", "0x")], []).agg(F.count("*").alias("n"))
+    emitter = F.concat(F.lit("0x"), F.lpad((F.col("block_number") % 3).cast("string"), 40, "c"))
+    topic = F.when(F.col("log_index") % 2 == 0, F.element_at("topics", 1)).otherwise("0x" + "1" * 64)
+    logs = logs.withColumns({"address": emitter, "topics": F.concat(F.array(topic), F.slice("topics", 2, 2))})
+    return decode.log_filter(logs, ["0x" + "C" * 39 + "1"], [facts.transfer_topic().upper().replace("0X", "0x")]).select("block_number", "log_index")
 
 
 @register("SELECT o_orderkey AS block_number, 999999::BIGINT AS log_index, (o_orderkey << 20) | 999999 AS _seq, 'blocks' AS \"table\", o_custkey::VARCHAR AS gas_used FROM orders")
@@ -326,9 +324,10 @@ def block_rows(spark, sf_dir):
     return decode.block_rows(headers).select("block_number", "log_index", "_seq", "table", "gas_used")
 
 
-@register("SELECT range AS block_number FROM range(1100, 5001, 100)")
+@register("WITH b AS (SELECT min(o_orderkey) AS f, max(o_orderkey) AS l FROM orders) SELECT 100 * unnest(range((f + 99) // 100, l // 100 + 1)) AS block_number FROM b")
 def sampled_blocks(spark, sf_dir):
-    return replay.sampled_blocks(spark, 1001, 5000, 100)
+    first, last = facts.table(spark, sf_dir, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return replay.sampled_blocks(spark, first, last, 100)
 
 
 @register("""SELECT DISTINCT o_orderkey AS block_number, printf('0x%040x', o_custkey) AS contract, ['get', o_orderstatus] AS args FROM orders""")
@@ -342,9 +341,13 @@ def call_content_address(spark, sf_dir):
     return facts.table(spark, sf_dir, "nation").select("n_nationkey", replay.call_address(1, F.col("n_nationkey"), F.col("n_name"), F.lit("0xab")).alias("address"))
 
 
-@register("SELECT DISTINCT p_type, lower(regexp_replace(p_type, '([A-Z])', '_\\1', 'g')) AS snake FROM part WHERE false UNION ALL SELECT DISTINCT event_type, event_type FROM events")
+@register("SELECT DISTINCT name, lower(name[1:1]) || lower(regexp_replace(name[2:], '([A-Z])', '_\\1', 'g')) AS snake FROM (SELECT upper(event_type[1:1]) || event_type[2:] || c_mktsegment[1:2] || 'Batch' AS name FROM events, (SELECT DISTINCT c_mktsegment FROM customer))")
 def snake_case(spark, sf_dir):
-    return facts.table(spark, sf_dir, "events").select(F.col("event_type").alias("p_type"), K.snake_case_column(F.col("event_type")).alias("snake")).distinct()
+    """Names of capitals in rows and at the front."""
+    kinds = facts.table(spark, sf_dir, "events").select("event_type").distinct()
+    segments = facts.table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    name = F.concat(F.upper(F.substring("event_type", 1, 1)), F.expr("substring(event_type, 2)"), F.substring("c_mktsegment", 1, 2), F.lit("Batch"))
+    return kinds.join(segments).select(name.alias("name"), K.snake_case_column(name).alias("snake")).distinct()
 
 
 # -- streams as batches
@@ -388,11 +391,13 @@ def warm_restart(spark, sf_dir):
     return _text(deltas.warm_balances(t.where("block_number <= 900"), t.where("block_number > 500"), 900), "balance")
 
 
-@register("SELECT 37::INTEGER AS point")
+@register("WITH m AS (SELECT max(o_orderkey) * 3 // 4 AS m FROM orders) SELECT max(o_orderkey) AS point FROM orders, m WHERE o_orderkey <= m")
 def reorg_point(spark, sf_dir):
-    seen = spark.range(0, 100).select(F.col("id").alias("block_number"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("block_hash"))
-    now = seen.withColumn("block_hash", F.when(F.col("block_number") > 37, F.lit("x")).otherwise(F.col("block_hash")))
-    return spark.createDataFrame([(ingest.reorg_point(seen, now),)], "point int")
+    """Orders as checkpoints whose last quarter the chain replaced."""
+    seen = facts.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_number"), F.concat_ws("-", "o_custkey", "o_orderstatus").alias("block_hash"))
+    fork = seen.agg(F.max("block_number").alias("m")).first()["m"] * 3 // 4
+    now = seen.withColumn("block_hash", F.when(F.col("block_number") > fork, F.concat("block_hash", F.lit("'"))).otherwise(F.col("block_hash")))
+    return spark.createDataFrame([(ingest.reorg_point(seen, now),)], "point long")
 
 
 @register(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (ORDER BY block_number, log_index) - 1 AS seq FROM e WHERE block_number > 142000000 AND block_number <= 142100000 AND event_type = 'purchase')
@@ -412,17 +417,18 @@ def recurrence(spark, sf_dir):
 # -- free SQL, as users write it
 
 
-_GOLDEN = """SELECT * FROM VALUES (1,'a1','a2'),(2,'a1','a2'),(3,'a1','a2'),(4,'a1','a2'),(5,'a1','a2'),(6,'a2','a3'),(7,'a2','a3'),(8,'a2','a3'),(9,'a2','a3'),(10,'a2','a3') AS v(b, f, t)"""
-
-
-@register("SELECT 10::BIGINT AS n, '5500' AS total, '1000' AS largest, '100' AS least, 550.0::DOUBLE AS mean, 2::BIGINT AS senders, 2::BIGINT AS receivers, '1500' AS from_a1, '4000' AS from_a2, 'a3' AS top")
+@register(f"""WITH {TRANSFERS}, v AS (SELECT *, value::HUGEINT AS x FROM t), top AS (SELECT "to", sum(x) AS s FROM v GROUP BY 1)
+SELECT count(*) AS n, sum(x)::VARCHAR AS total, max(x)::VARCHAR AS largest, min(x)::VARCHAR AS least, count(DISTINCT "from") AS senders, count(DISTINCT "to") AS receivers,
+  (SELECT max(s)::VARCHAR FROM top) AS most_received FROM v""")
 def golden_questions(spark, sf_dir):
-    rows = spark.sql(_GOLDEN).select(F.col("b").cast("long").alias("block_number"), F.lit(0).cast("long").alias("log_index"), F.col("f").alias("from"), F.col("t").alias("to"), (F.col("b") * 100).cast("string").alias("value"))
-    view = K.with_big_columns(store.union_view(rows.where("block_number <= 7"), rows.where("block_number > 5"), 7), ["value"])
+    """The questions that users ask of a transfer table, over a view half sealed and half hot that overlap."""
+    t = facts.transfers(spark, sf_dir)
+    first, last = t.agg(F.min("block_number"), F.max("block_number")).first()
+    sealed, hot = (first + last) // 2, (2 * first + last) // 3
+    view = K.with_big_columns(store.union_view(t.where(F.col("block_number") <= sealed), t.where(F.col("block_number") > hot), sealed), ["value"])
     v = F.col("value_dec")
-    top = view.groupBy("to").agg(F.sum(v).alias("s")).agg(F.max_by("to", "s").alias("top"))
-    out = view.agg(F.count("*").alias("n"), F.sum(v).cast("string").alias("total"), F.max(v).cast("string").alias("largest"), F.min(v).cast("string").alias("least"), F.avg(v).cast("double").alias("mean"), F.countDistinct("from").alias("senders"), F.countDistinct("to").alias("receivers"), F.sum(F.when(F.col("from") == "a1", v)).cast("string").alias("from_a1"), F.sum(F.when(F.col("from") == "a2", v)).cast("string").alias("from_a2"))
-    return out.join(top)
+    top = view.groupBy("to").agg(F.sum(v).alias("s")).agg(F.max("s").cast("string").alias("most_received"))
+    return view.agg(F.count("*").alias("n"), F.sum(v).cast("string").alias("total"), F.max(v).cast("string").alias("largest"), F.min(v).cast("string").alias("least"), F.countDistinct("from").alias("senders"), F.countDistinct("to").alias("receivers")).join(top)
 
 
 @register("SELECT user_id, count(*) AS n FROM events WHERE user_id >= 3 GROUP BY user_id HAVING count(*) > 1")
@@ -477,9 +483,16 @@ def hourly_counts(spark, sf_dir):
     return facts.table(spark, sf_dir, "events").groupBy(F.expr("CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ)").alias("hour")).agg(F.count("*").alias("n"), F.expr("count(*) FILTER (WHERE event_type = 'error')").alias("errors"))
 
 
-@register("SELECT n_name, 'GERMAMY' AS typo, levenshtein(n_name, 'GERMAMY')::BIGINT AS edits FROM nation")
+@register("""WITH t AS (SELECT n_name, n_name[1:1] || n_name[3:] || 'x' AS typo FROM nation),
+d AS (SELECT typo, o.n_name AS near, levenshtein(lower(typo), lower(o.n_name)) AS edits FROM t, nation o)
+SELECT typo, CASE WHEN min(edits) <= greatest(2, length(typo) // 3) THEN arg_min(near, (edits, near)) END AS near FROM d GROUP BY typo""")
 def nearest_name(spark, sf_dir):
-    return facts.table(spark, sf_dir, "nation").select("n_name", F.lit("GERMAMY").alias("typo"), F.levenshtein("n_name", F.lit("GERMAMY")).cast("long").alias("edits"))
+    """What a hint proposes for each misspelt name."""
+    from ledgerloom.plans.errors import closest
+
+    names = [r["n_name"] for r in facts.table(spark, sf_dir, "nation").select("n_name").collect()]  # as few as a catalog's tables
+    typos = [n[:1] + n[2:] + "x" for n in names]
+    return spark.createDataFrame(sorted({(t, closest(t, names)) for t in typos}), "typo string, near string")
 
 
 @register("SELECT n_regionkey, range AS k FROM nation, range(3) WHERE n_nationkey < 4")
@@ -487,35 +500,46 @@ def series_and_explode(spark, sf_dir):
     return facts.table(spark, sf_dir, "nation").where("n_nationkey < 4").select("n_regionkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("k"))
 
 
-# -- runs of the store and the decoder, without SQL
+@register("SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b FROM region WHERE false")
+def empty_view(spark, sf_dir):
+    return K.empty_table(spark, ["a", "b"])
 
 
-@register(None)
-def store_lifecycle(spark, sf_dir):
-    """Commit two windows, take one back, commit again, seal, and read the view: every row once."""
-    import uuid
+@register(f"""WITH {TRANSFERS}, c AS (SELECT printf('0x%040x', s_suppkey) AS child, min((block_number, log_index)) AS at FROM supplier JOIN t ON "from" = printf('0x%040x', s_suppkey) WHERE s_suppkey % 2 = 0 GROUP BY 1)
+SELECT block_number, log_index, child AS address, "to", value FROM t JOIN c ON "from" = child AND (block_number, log_index) > c.at""")
+def decode_children(spark, sf_dir):
+    """Logs of contracts that a factory made, from each one's discovery on: suppliers of even number, found with their first shipment."""
+    t = facts.transfers(spark, sf_dir)
+    even = facts.table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(facts.address(F.col("s_suppkey")).alias("from"))
+    kids = t.join(even, "from").groupBy(F.col("from").alias("address")).agg(F.min(F.struct("block_number", "log_index")).alias("f")).select("address", F.lit("pool").alias("template"), F.col("f.block_number").alias("discovered_block"), F.col("f.log_index").alias("discovered_log_index"))
+    registry = Registry()
+    registry.add("pool", facts.TRANSFER_ABI, None)
+    logs = facts.transfer_logs(spark, sf_dir).withColumn("address", F.concat(F.lit("0x"), F.substring(F.element_at("topics", 2), 27, 40)))
+    return decode.decode_children(registry, logs, kids, "pool")["pool__transfer"].select("block_number", "log_index", "address", "to", "value")
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder()
-    s = store.Store(spark, f"{shared}/store-{uuid.uuid4().hex}")
-    rows = facts.transfers(spark, sf_dir).withColumns({"address": F.lit(facts.TOKEN), "block_hash": F.lit("0xb"), "tx_hash": F.lit("0xt"), "block_timestamp": F.col("block_number"), "_seq": K.sequence_key(F.col("block_number"), F.col("log_index"))})
-    names = {"token__transfer": sorted(rows.columns)}
-    low, high = rows.where("block_number <= 200"), rows.where("block_number > 200 AND block_number <= 400")
-    s.commit_window({"token__transfer": low}, {200: "a"}, 200, 0)
-    s.commit_window({"token__transfer": high}, {400: "b"}, 400, 1)
-    s.rollback(300, names)
-    s.commit_window({"token__transfer": high.where("block_number > 300")}, {400: "c"}, 400, 2)
-    s.seal_and_prune(250, names)
-    view = s.view("token__transfer", names["token__transfer"], ["value"])
-    return view.groupBy("block_number").agg(F.count("*").alias("n"), F.sum("value_dec").cast("string").alias("total"))
 
+@register(f"""WITH {TRANSFERS} SELECT block_number, log_index, CASE WHEN block_number % 5 = 0 THEN 'calls_raw' ELSE 'token__call_transfer' END AS "table", CASE WHEN block_number % 5 <> 0 THEN "to" END AS "to", CASE WHEN block_number % 5 <> 0 THEN value END AS value FROM t""")
+def decode_calls(spark, sf_dir):
+    """Calls to a contract; those whose arguments are cut short keep their raw input."""
+    call = [{"type": "function", "name": "transfer", "inputs": [{"name": "to", "type": "address"}, {"name": "value", "type": "uint256"}]}]
+    registry = Registry()
+    registry.add("token", facts.TRANSFER_ABI + call, facts.TOKEN, functions=["transfer"])
+    logs = facts.transfer_logs(spark, sf_dir)
+    whole = F.concat(F.lit("0xa9059cbb"), F.substring(F.element_at("topics", 3), 3, 64), F.substring("data", 3, 64))
+    calls = logs.withColumn("input", F.when(F.col("block_number") % 5 == 0, F.substring(whole, 1, 40)).otherwise(whole)).drop("topics", "data")
+    tables = decode.decode_calls(registry, calls)
+    names = ["block_number", "log_index", "table", "to", "value"]
+    raw = tables["calls_raw"].withColumns({"to": F.lit(None).cast("string"), "value": F.lit(None).cast("string")})
+    return tables["token__call_transfer"].select(*names).unionByName(raw.select(*names))
+
+
+# -- runs of the store and the stream
 
-@register(f"WITH {TRANSFERS} SELECT block_number, count(*) AS n, sum(value::HUGEINT)::VARCHAR AS total FROM t GROUP BY 1")
-def store_lifecycle_whole(spark, sf_dir):
-    """``store_lifecycle`` over the whole table: windows, rollback and seal at shares of its block range."""
-    import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder()
-    s = store.Store(spark, f"{shared}/store-{uuid.uuid4().hex}")
+@register(f"WITH {TRANSFERS} SELECT block_number, count(*) AS n, sum(value::HUGEINT)::VARCHAR AS total FROM t GROUP BY 1")
+def store_lifecycle(spark, sf_dir):
+    """Commit two windows, take one back, commit again, seal, and read the view: every row once. Windows, rollback and seal are at shares of the table's block range."""
+    s = _store(spark)
     rows = facts.transfers(spark, sf_dir).withColumns({"address": F.lit(facts.TOKEN), "block_hash": F.lit("0xb"), "tx_hash": F.lit("0xt"), "block_timestamp": F.col("block_number"), "_seq": K.sequence_key(F.col("block_number"), F.col("log_index"))})
     names = {"token__transfer": sorted(rows.columns)}
     first, last = rows.agg(F.min("block_number"), F.max("block_number")).first()
@@ -530,10 +554,67 @@ def store_lifecycle_whole(spark, sf_dir):
     return view.groupBy("block_number").agg(F.count("*").alias("n"), F.sum("value_dec").cast("string").alias("total"))
 
 
-def _local_folder() -> str:
+@register("""WITH c AS (SELECT epoch_us(ts) // 12000000 AS block_number, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY block_number) - n AS before FROM c),
+p AS (SELECT before // 2500 AS part, min(block_number) AS f, max(block_number) AS to_block, sum(n)::BIGINT AS rows, max(before + n) AS after FROM r GROUP BY 1)
+SELECT to_block, rows FROM p WHERE after >= (part + 1) * 2500""")
+def sealed_ranges(spark, sf_dir):
+    """Segments that two sealing runs leave: the same as one run's, since they follow the rows."""
+    s = _store(spark)
+    rows = facts.event_transfers(spark, sf_dir).drop("event_type")
+    names = {"t": sorted(rows.columns)}
+    first, last = rows.agg(F.min("block_number"), F.max("block_number")).first()
+    s.commit_window({"t": rows}, {last: "a"}, last, 0)
+    s.seal_and_prune((first + last) // 2, names, size=2500)
+    s.seal_and_prune(last, names, size=2500)
+    return spark.createDataFrame([(x.to_block, x.rows) for x in s.segments("t")], "to_block long, rows long")
+
+
+@register(f"WITH {EVENTS} SELECT block_number, log_index, value FROM e")
+def stream_reorg(spark, sf_dir):
+    """Two batches of which the second finds that the first is no longer the chain's: taken back, applied anew, each row once."""
+    logs = facts.event_transfers(spark, sf_dir).select("block_number", "log_index", "value")
+    first, last = logs.agg(F.min("block_number"), F.max("block_number")).first()
+    middle, quarter = (first + last) // 2, (3 * first + last) // 4
+    held = {quarter: "q", middle: "old"}
+    d = ingest.Dataset(_store(spark), lambda x: {"t": x}, {"t": logs.columns})
+    chain = ingest.Chain(lambda blocks: {b: held[b] for b in blocks if b in held}, lambda a, b: logs.where(F.col("block_number").between(a, b)))
+    run = ingest.for_each_batch([d], lambda batch: (lambda top: {top: held.get(top, "h")})(batch.agg(F.max("block_number")).first()[0]), chain)
+    ingest.apply_window(d, logs.where(F.col("block_number") <= quarter), {quarter: "q"}, quarter, 0)
+    wrong = logs.where((F.col("block_number") > quarter) & (F.col("block_number") <= middle)).withColumn("value", F.lit("wrong"))
+    ingest.apply_window(d, wrong, {middle: "old"}, middle, 1)
+    held[middle] = "new"
+    run(logs.where(F.col("block_number") > middle), 2)
+    return d.store.view("t", logs.columns).select("block_number", "log_index", "value")
+
+
+@register(f"""WITH {EVENTS} SELECT block_number, log_index, kind FROM e, (VALUES ('flag', 1), ('flag_retracted', 2), ('flag', 3)) AS k(kind, i) WHERE value::HUGEINT > 5000""")
+def alerts_after_reorg(spark, sf_dir):
+    """A flag, its retraction, and the same flag on the new branch: three alerts for each."""
+    flags = facts.event_transfers(spark, sf_dir).where("CAST(value AS DECIMAL(38,0)) > 5000").select("block_number", "log_index")
+    box = ingest.Outbox(spark, f"{_shared(spark)}/box-{_name()}", most=1 << 40)
+    for weight, batch in ((1, 1), (-1, 2), (1, 3), (1, 3)):
+        box.put(flags, weight, ["block_number", "log_index"], batch)
+    row = lambda c: F.get_json_object("body", f"$.{c}").cast("long").alias(c)
+    return box.pending().select(row("block_number"), row("log_index"), "kind")
+
+
+def _name() -> str:
+    import uuid
+
+    return uuid.uuid4().hex
+
+
+def _shared(spark) -> str:
+    """The folder that all executors share; one of this machine's where Spark runs on this machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     import tempfile
 
     return tempfile.mkdtemp(prefix="ledgerloom-store-")
 
 
-ORACLE_SQL["store_lifecycle"] = f"WITH {TRANSFERS} SELECT block_number, count(*) AS n, sum(value::HUGEINT)::VARCHAR AS total FROM t WHERE block_number <= 400 GROUP BY 1"
+def _store(spark) -> store.Store:
+    return store.Store(spark, f"{_shared(spark)}/store-{_name()}")

@@ -64,11 +64,16 @@ def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS = """l AS (SELECT DISTINCT printf('0x%040x', s_suppkey) AS address, r_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def transfer_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw logs whose decoding gives the transfers again."""
+def transfer_topic() -> str:
+    """First topic of a transfer's log."""
     from ledgerloom.functions.keccak import keccak256
 
-    topic0 = "0x" + keccak256(b"Transfer(address,address,uint256)").hex()
+    return "0x" + keccak256(b"Transfer(address,address,uint256)").hex()
+
+
+def transfer_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw logs whose decoding gives the transfers again."""
+    topic0 = transfer_topic()
     word = lambda c: F.concat(F.lit("0x"), F.lpad(F.substring(c, 3, 64), 64, "0"))
     t = transfers(spark, sf_dir)
     return t.select(
