@@ -176,7 +176,7 @@ class _Tokenizer:
         return b"".join([*out, *cache.ids([text[at:]])])
 
 
-def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False, added: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False, added: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): token ids and ``end_id``, cut into pieces that fit.
 
     A null text has ``end_id`` alone. Only documents longer than ``capacity`` are cut, and only
@@ -251,15 +251,17 @@ def place_pieces(pieces: DataFrame, capacity: int, rounds: int = ROUNDS) -> Data
     return ranked.select(*names).mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names[:-1]) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, added: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, added: bool = True) -> DataFrame:
     """Every document of ``docs`` (doc_id, text) cut and packed into sequences of at most ``capacity`` tokens.
 
     Repeated rows are packed as often as they come; an empty table gives no rows; other columns
-    are ignored. With ``added`` the JSON's added tokens have their own ids where texts hold them.
+    are ignored. The JSON's added tokens have their own ids where texts hold them, as in the ``tokenizers``
+    library; without ``added`` they are ordinary text. Texts of equal length in tokens are interchangeable: ties
+    go by a hash of doc_id and piece, then by doc_id, piece and start.
     """
     return place_pieces(C.cut(cut_documents(docs, path, capacity, end_id, keep_ids, added)), capacity)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 2048 tokens; see ``pack_documents``."""
-    return pack_documents(C.table(spark, sf_dir, "documents"), C.tokenizer_path("byte_bpe_50k.json"), added=True)
+    return pack_documents(C.table(spark, sf_dir, "documents"), C.tokenizer_path("byte_bpe_50k.json"))

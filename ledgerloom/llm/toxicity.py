@@ -150,10 +150,15 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the labelled rows that aren't held out; without any, the fixed lexicon decides."""
+    """A model of the labelled rows that aren't held out; without any, the fixed lexicon decides.
+
+    Where a doc_id has several texts, the one of least hash stands for it. Null texts and ids take no part.
+    """
     C.small_batches(docs.sparkSession)
     sample = C.cut(training_rows(labels, sample_rows), per_core=1)
-    texts = C.pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    # One text for each labelled id, so that the sample's bound holds for texts, too.
+    found = C.pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    texts = C.cut(found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), per_core=1)
 
     def count(batches):
         bad: dict[str, int] = {}
@@ -180,9 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     def look(batches):
         own = Model(lexicon)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([own.hits(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["toxic", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.hits(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "hits"])
 
-    rows = texts.mapInArrow(look, "toxic int, hits array<int>").collect()  # at most sample_rows short lists
+    # At most sample_rows lists, each no longer than the lexicon; in order, so that sums don't depend on the layout.
+    rows = sorted(texts.mapInArrow(look, "doc_id long, hits array<int>").collect(), key=lambda r: r["doc_id"])
     if len(rows) >= 20 and n_bad and n_clean:
         hits = [r["hits"] for r in rows]
         posterior, model.label_model = label_model(votes(lexicon, hits))

@@ -65,6 +65,18 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(docs(spark, ["a"]).limit(0), model).count() == 0
 
 
+def test_toxicity_against_a_plain_version(spark):
+    """Scores by a plain reading of the fitted weights; the fit doesn't depend on layout, nor on texts of the same id beyond one."""
+    d, labels, marks = _labelled(spark, 300)
+    model = toxicity.fit(d, labels)
+    again = toxicity.fit(d.union(d).repartition(5), labels)
+    assert np.array_equal(model.weights, again.weights) and model.bias == again.bias
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    for r in toxicity.score_documents(d, model).collect():
+        plain = 1 / (1 + np.exp(-(model.bias + sum(model.weights[k] for k in model.hits(texts[r["doc_id"]])))))
+        assert abs(r["score"] - plain) < 1e-9 and r["predicted"] == int(plain >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_label_model_downweights_copies():
     rng = np.random.default_rng(2)
     y = rng.random(3000) < 0.2

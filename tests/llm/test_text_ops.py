@@ -245,7 +245,6 @@ def test_pack_documents(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     texts = TEXTS * 3
     rows = packing.pack_documents(docs(spark, texts), P.path("byte_bpe_50k.json"), capacity=64, keep_ids=True).collect()
     places: dict = {}
