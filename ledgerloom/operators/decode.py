@@ -202,7 +202,7 @@ def number_text(raw: Column, signed: bool) -> Column:
 
 def _builtin(decoder: Decoder, logs: DataFrame) -> DataFrame:
     """Decoding by cutting words out of hex text; logs that don't fit are left out."""
-    columns, topic, word = {}, 1, 0
+    words, columns, topic, word = {}, {}, 1, 0
     for p in decoder.params:
         if p.indexed:
             raw = F.lower(F.substring(F.element_at("topics", topic + 1), 3, 64))
@@ -210,6 +210,8 @@ def _builtin(decoder: Decoder, logs: DataFrame) -> DataFrame:
         else:
             raw = F.lower(F.substring("data", 3 + 64 * word, 64))
             word += 1
+        # A projection of its own: a word is cut out once, however often its value's cases look at it.
+        words[f"_w{len(words)}"], raw = raw, F.col(f"_w{len(words)}")
         if p.kind == "address":
             value = F.concat(F.lit("0x"), F.substring(raw, 25, 40))
         elif p.kind == "bool":
@@ -230,7 +232,7 @@ def _builtin(decoder: Decoder, logs: DataFrame) -> DataFrame:
     fits = (F.size("topics") == topic) & (F.length("data") >= 2 + 64 * word)
     if any(_NUMBER.fullmatch(p.sol_type) for p in decoder.params):  # what isn't hexadecimal isn't a number
         fits &= F.concat(F.substring("data", 3, 64 * word), *(F.substring(F.element_at("topics", k + 1), 3, 64) for k in range(1, topic))).rlike("^[0-9a-fA-F]*$")
-    return _with_chain(logs.where(fits).withColumns(columns), decoder, decoder.columns)
+    return _with_chain(logs.where(fits).withColumns(words).withColumns(columns), decoder, decoder.columns)
 
 
 def _batched(decoder: Decoder, rows: DataFrame, one) -> DataFrame:
