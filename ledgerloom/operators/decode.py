@@ -157,6 +157,11 @@ def decode_call(decoder: Decoder, data: str) -> dict[str, str]:
     return {p.column: as_text(p.kind, v) for p, v in zip(decoder.params, values)}
 
 
+def _topic0() -> Column:
+    """The first topic; null for a log without topics, which anonymous events may leave."""
+    return F.lower(F.get("topics", F.lit(0)))
+
+
 def _with_chain(df: DataFrame, decoder: Decoder, extra: list[str]) -> DataFrame:
     return df.select(*CHAIN, F.lower("address").alias("address"), sequence_key(F.col("block_number"), F.col("log_index")).alias("_seq"), F.lit(decoder.table).alias("table"), *(F.col(f"`{c}`") for c in extra))
 
@@ -205,7 +210,7 @@ def _builtin(decoder: Decoder, logs: DataFrame) -> DataFrame:
     words, columns, topic, word = {}, {}, 1, 0
     for p in decoder.params:
         if p.indexed:
-            raw = F.lower(F.substring(F.element_at("topics", topic + 1), 3, 64))
+            raw = F.lower(F.substring(F.get("topics", F.lit(topic)), 3, 64))
             topic += 1
         else:
             raw = F.lower(F.substring("data", 3 + 64 * word, 64))
@@ -231,7 +236,7 @@ def _builtin(decoder: Decoder, logs: DataFrame) -> DataFrame:
         columns[p.column] = value
     fits = (F.size("topics") == topic) & (F.length("data") >= 2 + 64 * word)
     if any(_NUMBER.fullmatch(p.sol_type) for p in decoder.params):  # what isn't hexadecimal isn't a number
-        fits &= F.concat(F.substring("data", 3, 64 * word), *(F.substring(F.element_at("topics", k + 1), 3, 64) for k in range(1, topic))).rlike("^[0-9a-fA-F]*$")
+        fits &= F.concat(F.substring("data", 3, 64 * word), *(F.substring(F.get("topics", F.lit(k)), 3, 64) for k in range(1, topic))).rlike("^[0-9a-fA-F]*$")
     return _with_chain(logs.where(fits).withColumns(words).withColumns(columns), decoder, decoder.columns)
 
 
@@ -269,7 +274,7 @@ def route(registry: Registry, logs: DataFrame) -> DataFrame:
     """
     known = [(d.selector, d.address, d.table) for d in registry.decoders if d.kind == "event" and d.address]
     places = logs.sparkSession.createDataFrame(known, "_topic string, _emitter string, _table string")
-    found = logs.withColumns({"_topic": F.lower(F.element_at("topics", 1)), "_emitter": F.lower("address")})
+    found = logs.withColumns({"_topic": _topic0(), "_emitter": F.lower("address")})
     return found.join(F.broadcast(places), ["_topic", "_emitter"]).drop("_topic", "_emitter")
 
 
@@ -282,7 +287,7 @@ def decode_events(registry: Registry, logs: DataFrame) -> dict[str, DataFrame]:
     events = [d for d in registry.decoders if d.kind == "event" and d.address]
     if len(events) == 1:
         d = events[0]
-        return {d.table: _decode(d, logs.where((F.lower(F.element_at("topics", 1)) == d.selector) & (F.lower("address") == d.address)))}
+        return {d.table: _decode(d, logs.where((_topic0() == d.selector) & (F.lower("address") == d.address)))}
     routed = route(registry, logs).persist() if events else logs
     return {d.table: _decode(d, routed.where(F.col("_table") == d.table)) for d in events}
 
@@ -292,7 +297,7 @@ def decode_children(registry: Registry, logs: DataFrame, children: DataFrame, te
     from ledgerloom.operators.joins import after_discovery
 
     mine = after_discovery(logs, children.where(F.col("template") == template)).drop("template")
-    return {d.table: _decode(d, mine.where(F.lower(F.element_at("topics", 1)) == d.selector)) for d in registry.decoders if d.kind == "event" and d.address is None and d.alias == template}
+    return {d.table: _decode(d, mine.where(_topic0() == d.selector)) for d in registry.decoders if d.kind == "event" and d.address is None and d.alias == template}
 
 
 def _call_fits(decoder: Decoder) -> Column:
@@ -350,4 +355,4 @@ def log_filter(logs: DataFrame, addresses: list[str], topics: list[str]) -> Data
         raise ValueError("the filter is empty")
     if addresses:
         logs = logs.where(F.lower("address").isin([a.lower() for a in addresses]))
-    return logs.where(F.lower(F.element_at("topics", 1)).isin([t.lower() for t in topics])) if topics else logs
+    return logs.where(_topic0().isin([t.lower() for t in topics])) if topics else logs

@@ -312,7 +312,7 @@ def log_filter(spark, sf_dir):
     """Logs of one contract and one event among three contracts and two events."""
     logs = facts.transfer_logs(spark, sf_dir)
     emitter = F.concat(F.lit("0x"), F.lpad((F.col("block_number") % 3).cast("string"), 40, "c"))
-    topic = F.when(F.col("log_index") % 2 == 0, F.element_at("topics", 1)).otherwise("0x" + "1" * 64)
+    topic = F.when(F.col("log_index") % 2 == 0, F.get("topics", F.lit(0))).otherwise("0x" + "1" * 64)
     logs = logs.withColumns({"address": emitter, "topics": F.concat(F.array(topic), F.slice("topics", 2, 2))})
     return decode.log_filter(logs, ["0x" + "C" * 39 + "1"], [facts.transfer_topic().upper().replace("0X", "0x")]).select("block_number", "log_index")
 
@@ -514,7 +514,7 @@ def decode_children(spark, sf_dir):
     kids = t.join(even, "from").groupBy(F.col("from").alias("address")).agg(F.min(F.struct("block_number", "log_index")).alias("f")).select("address", F.lit("pool").alias("template"), F.col("f.block_number").alias("discovered_block"), F.col("f.log_index").alias("discovered_log_index"))
     registry = Registry()
     registry.add("pool", facts.TRANSFER_ABI, None)
-    logs = facts.transfer_logs(spark, sf_dir).withColumn("address", F.concat(F.lit("0x"), F.substring(F.element_at("topics", 2), 27, 40)))
+    logs = facts.transfer_logs(spark, sf_dir).withColumn("address", F.concat(F.lit("0x"), F.substring(F.get("topics", F.lit(1)), 27, 40)))
     return decode.decode_children(registry, logs, kids, "pool")["pool__transfer"].select("block_number", "log_index", "address", "to", "value")
 
 
@@ -525,7 +525,7 @@ def decode_calls(spark, sf_dir):
     registry = Registry()
     registry.add("token", facts.TRANSFER_ABI + call, facts.TOKEN, functions=["transfer"])
     logs = facts.transfer_logs(spark, sf_dir)
-    whole = F.concat(F.lit("0xa9059cbb"), F.substring(F.element_at("topics", 3), 3, 64), F.substring("data", 3, 64))
+    whole = F.concat(F.lit("0xa9059cbb"), F.substring(F.get("topics", F.lit(2)), 3, 64), F.substring("data", 3, 64))
     calls = logs.withColumn("input", F.when(F.col("block_number") % 5 == 0, F.substring(whole, 1, 40)).otherwise(whole)).drop("topics", "data")
     tables = decode.decode_calls(registry, calls)
     names = ["block_number", "log_index", "table", "to", "value"]

@@ -10,6 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt out by ``key`` where it's a table too small for a split a core.
+
+    A file of one row group is one task, however much is made of its rows. A table that has a full
+    split for each core stays as it is: its scan is spread already and a shuffle would add nothing.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores, key) if size < cores * split else df
+
+
 def address(key: Column) -> Column:
     """A key as an address; key 0 is the zero address."""
     return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(key.cast("long"))), 40, "0"))
@@ -22,7 +35,7 @@ def cents(amount: Column) -> Column:
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(block_number, log_index, from, to, value): what a supplier ships to a customer."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    line = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(

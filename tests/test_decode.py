@@ -66,7 +66,13 @@ def test_decode_events(spark):
         log(TOKEN, [topic("Note(uint64,string,uint16[],string)"), "0x" + word(7), "0x" + "ee" * 32], "0x" + word(64) + word(128) + word(2**200), 5),  # a damaged length
         log("0x" + "11" * 20, [topic("Flag(bool,bytes4)")], "0x" + word(1) + word(0), 6),  # nobody's
         log(TOKEN, [topic("Nobody()")], "0x", 7),
+        log(TOKEN, [], "0x", 8),  # what an anonymous event leaves
+        log(TOKEN, None, "0x", 9),
     ]
+    assert [r["block_number"] for r in D.log_filter(spark.createDataFrame(logs, D.LOG_SCHEMA), [], [topic("Nobody()")]).collect()] == [7]
+    alone = Registry()
+    alone.add("token", ABI[:1], TOKEN)
+    assert [r["value"] for r in D.decode_events(alone, spark.createDataFrame(logs, D.LOG_SCHEMA))["token__transfer"].collect()] == [str(big)]
     tables = D.decode_events(registry(), spark.createDataFrame(logs, D.LOG_SCHEMA))
     t = tables["token__transfer"].collect()
     assert len(t) == 1 and t[0]["value"] == str(big) and t[0]["from"] == f"0x{1:040x}" and t[0]["address"] == TOKEN and t[0]["_seq"] == 1 << 20

@@ -40,3 +40,18 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns == ["address", "balance"] and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_dealt_leaves_large_tables(spark, tmp_path):
+    from ledgerloom.sources.facts import dealt
+
+    path = str(tmp_path / "t")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    small = dealt(spark.read.parquet(path), "id")
+    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and small.count() == 1000
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        assert "Exchange" not in dealt(spark.read.parquet(path), "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
