@@ -18,6 +18,17 @@ def _weight(df: DataFrame) -> Column:
     return F.col("weight").cast(BIG) if "weight" in df.columns else F.lit(1).cast(BIG)
 
 
+def _total(df: DataFrame, value: str) -> Column:
+    """The sum of ``value`` over rows made of ``df``'s; rows that are all added need no product of 128-bit numbers each."""
+    v = F.col(value)
+    return F.sum((v * F.col("weight")).cast(BIG) if "weight" in df.columns else v).cast(BIG)
+
+
+def _rows(df: DataFrame) -> Column:
+    """How many rows are added and not taken back."""
+    return F.sum("weight").cast("long") if "weight" in df.columns else F.count("*")
+
+
 def signed_moves(transfers: DataFrame, lower: bool = False) -> DataFrame:
     """(address, delta, weight): +value for ``to``, -value for ``from``, in one pass over the rows."""
     v = big(F.col("value"))
@@ -29,7 +40,7 @@ def signed_moves(transfers: DataFrame, lower: bool = False) -> DataFrame:
 def net_balances(transfers: DataFrame) -> DataFrame:
     """(address, balance) without zeros; the zero address and the case of addresses stay."""
     moves = signed_moves(transfers)
-    total = F.sum((F.col("delta") * F.col("weight")).cast(BIG)).cast(BIG)
+    total = _total(transfers, "delta")
     return moves.groupBy("address").agg(total.alias("balance")).where("balance <> 0")
 
 
@@ -72,7 +83,7 @@ def exposure(transfers: DataFrame, labels: DataFrame) -> DataFrame:
     )
     moves = transfers.where(v.isNotNull()).select(v.alias("v"), _weight(transfers).alias("weight"), F.inline(sides))
     # Partial sums by address pair come before the join with labels, so that a hot pair moves once.
-    pairs = moves.groupBy("address", "counterparty", "direction").agg(F.sum((F.col("v") * F.col("weight")).cast(BIG)).cast(BIG).alias("amount"), F.sum("weight").cast("long").alias("n"))
+    pairs = moves.groupBy("address", "counterparty", "direction").agg(_total(transfers, "v").alias("amount"), _rows(transfers).alias("n"))
     return pairs.join(marks, "counterparty").groupBy("address", "label", "direction").agg(F.sum("amount").cast(BIG).alias("amount"), F.sum("n").alias("n")).where("n <> 0")
 
 
@@ -91,7 +102,7 @@ def velocity(transfers: DataFrame, width: int = BUCKET_BLOCKS) -> DataFrame:
     """(address, window_start, volume, n): what an address sent in each window of blocks."""
     v = big(F.col("value"))
     rows = transfers.where(v.isNotNull()).select(F.col("from").alias("address"), bucket(F.col("block_number"), width).alias("window_start"), v.alias("v"), _weight(transfers).alias("weight"))
-    return rows.groupBy("address", "window_start").agg(F.sum((F.col("v") * F.col("weight")).cast(BIG)).cast(BIG).alias("volume"), F.sum("weight").cast("long").alias("n")).where("n <> 0")
+    return rows.groupBy("address", "window_start").agg(_total(transfers, "v").alias("volume"), _rows(transfers).alias("n")).where("n <> 0")
 
 
 def velocity_flags(found: DataFrame, threshold: int) -> DataFrame:
