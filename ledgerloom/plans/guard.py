@@ -232,15 +232,16 @@ class Surface:
 
         def watch() -> None:
             # A job may start after the limit, when planning took it all, so interrupts go on until the call ends.
+            # The tag is the context's: a session knows its own tags only in the thread that added them.
             wait = self.deadline_s
             while not ended.wait(wait):
                 expired.set()
-                self.spark.interruptTag(tag)
+                sc.cancelJobsWithTag(tag)
                 wait = 0.1
 
         watcher = threading.Thread(target=watch, name=tag, daemon=True)
         watcher.start()
-        self.spark.addTag(tag)
+        sc.addJobTag(tag)
         sc.setInterruptOnCancel(True)
         try:
             from ledgerloom.operators.reads import capped
@@ -259,7 +260,7 @@ class Surface:
         finally:
             ended.set()
             watcher.join()
-            self.spark.removeTag(tag)
+            sc.removeJobTag(tag)
             sc.setInterruptOnCancel(False)
             self.slots.release()
 
