@@ -257,8 +257,11 @@ class Store:
 
     # -- both
 
-    def view(self, table: str, names: list[str], big: list[str] = (), most_hot: int | None = MOST_HOT_ROWS, without: frozenset = frozenset()) -> DataFrame:
-        """Sealed and hot rows as one table, without overlap: hot ones count above the watermark, or all where nothing is sealed."""
+    def view(self, table: str, names: list[str], big: list[str] = (), most_hot: int | None = None, without: frozenset = frozenset()) -> DataFrame:
+        """Sealed and hot rows as one table, without overlap: hot ones count above the watermark, or all where nothing is sealed.
+
+        ``most_hot`` is for what answers callers, which refuses a large tip; a job reads it whole.
+        """
         state = self.state()
         cold, hot = self.cold(table, names, without=without, state=state), self.hot(table, names, most_hot, state)
         sealed = bool(self.segments(table, state=state))

@@ -40,6 +40,17 @@ def test_union_is_disjoint(spark, tmp_path):
         s.hot("t", NAMES, most=0)
 
 
+def test_only_the_surface_refuses_a_large_tip(spark, tmp_path):
+    from ledgerloom.plans.catalog import dataset_views
+    from ledgerloom.sources.store import MOST_HOT_ROWS
+
+    s = Store(spark, str(tmp_path))
+    s.commit_window({"t": spark.range(MOST_HOT_ROWS + 1).select(F.col("id").alias("block_number"), F.lit(0).cast("long").alias("log_index"))}, {}, MOST_HOT_ROWS, 0)
+    assert s.view("t", ["block_number", "log_index"]).count() == MOST_HOT_ROWS + 1
+    with pytest.raises(HotScanTooLarge):
+        dataset_views(s, {})
+
+
 def test_segments_depend_on_rows_only(spark, tmp_path):
     a, b = Store(spark, str(tmp_path / "a"), str(tmp_path / "shared")), Store(spark, str(tmp_path / "b"), str(tmp_path / "shared"))
     a.seal(spark, {"t": rows(spark, range(5))}, 0, 4, advance=True)
