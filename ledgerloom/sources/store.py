@@ -14,7 +14,7 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import IMPLICIT, conform, empty_table, with_big_columns
@@ -100,12 +100,37 @@ class Files:
 
 def rows_hash(df: DataFrame) -> str:
     """A hash of the rows that doesn't depend on their order, on files or on writers: added digests of canonical rows."""
-    names = sorted(df.columns)
+    return _rows_name(sorted(df.columns), _digest_sums(df).first())
+
+
+def _digest_sums(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each key, the number of rows and the sums of the eight words of their digests: 64 bits hold a task's, all are added exactly."""
+    names = sorted(c for c in df.columns if c not in by)
     canon = F.to_json(F.array(*(F.col(f"`{n}`").cast("string") for n in names)), {"ignoreNullFields": "false"})
-    digest = F.sha2(canon.cast("binary"), 256)
-    parts = [F.sum(F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")) for k in range(8)]
-    row = df.agg(F.count("*"), *parts).first()
-    return hashlib.sha256(json.dumps([names, *map(str, row)]).encode()).hexdigest()
+    words = [f"_word{k}" for k in range(8)]
+    digest = df.select(*by, F.spark_partition_id().alias("_task"), F.sha2(canon.cast("binary"), 256).alias("_digest"))
+    tasks = digest.groupBy(*by, "_task").agg(F.count("*").alias("_rows"), *(F.sum(F.conv(F.substring("_digest", 1 + 8 * k, 8), 16, 10).cast("long")).alias(w) for k, w in enumerate(words)))
+    return tasks.groupBy(*by).agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_rows"), *(F.sum(F.col(w).cast("decimal(38,0)")).alias(w) for w in words))
+
+
+def _rows_name(names: list[str], sums) -> str:
+    return hashlib.sha256(json.dumps([names, *map(str, sums)]).encode()).hexdigest()
+
+
+def _place(at: str, ends: list[int]) -> Column:
+    """Number of the range that holds a block, by the last blocks of adjoining ranges."""
+    if len(ends) == 1:
+        return F.lit(0)
+    import numpy as np
+    import pandas as pd
+
+    bounds = np.array(ends, dtype="int64")
+
+    def place(blocks):
+        return pd.Series(np.searchsorted(bounds, blocks).astype("int32"))
+
+    place.__annotations__ = {"blocks": pd.Series, "return": pd.Series}
+    return F.pandas_udf(place, "int")(at)
 
 
 class Store:
@@ -136,28 +161,39 @@ class Store:
     def seal(self, spark: SparkSession, tables: dict[str, DataFrame], first: int, last: int, advance: bool = False) -> State:
         """One segment for each table that has rows in the range; a range with the same rows is left as it is."""
         state = self.state()
-        for table, df in sorted(tables.items()):
-            rows = df.where(F.col("block_number").between(first, last)).drop("table")
-            count = rows.count()
-            if not count:
-                continue
-            key = rows_hash(rows)
-            held = state.tables.setdefault(table, [])
-            if any(s.hash == key for s in held):
-                continue
-            name = f"segments/{key}.parquet"
-            if not self.shared_files.exists(name):
-                part = f"segments/.{uuid.uuid4().hex}"
-                files = max(1, count // 5_000_000)
-                ordered = rows.repartitionByRange(files, "block_number", "log_index").sortWithinPartitions("block_number", "log_index")
-                ordered.write.parquet(f"{self.shared}/{part}")
-                if not self.shared_files.move(part, name):
-                    self.shared_files.delete(part)
-            held.append(Segment(key, first, last, count, name, rows.columns))
+        self._add_segments(state, tables, [(first, last)])
         if advance:
             state.sealed_through = max(state.sealed_through, last)
         return self._commit(state)
 
+    def _add_segments(self, state: State, tables: dict[str, DataFrame], ranges: list[tuple[int, int]]) -> None:
+        """To the state, one segment for each table and each of the adjoining ranges in which it has rows.
+
+        However many ranges there are, a table's rows are read once for all hashes and once (and for
+        a sample) for all files.
+        """
+        for table, df in sorted(tables.items()):
+            rows = df.where(F.col("block_number").between(ranges[0][0], ranges[-1][1])).drop("table")
+            placed, names = rows.withColumn("_range", _place("block_number", [b for _, b in ranges])), sorted(rows.columns)
+            found = {r[0]: (r[1], _rows_name(names, r[1:])) for r in _digest_sums(placed, ("_range",)).collect()}
+            held = state.tables.setdefault(table, []) if found else []
+            known = {s.hash for s in held}
+            new = {k: (count, key) for k, (count, key) in sorted(found.items()) if key not in known}
+            missing = {k: v for k, v in new.items() if not self.shared_files.exists(f"segments/{v[1]}.parquet")}
+            if missing:
+                self._write_segments(placed if len(missing) == len(found) else placed.where(F.col("_range").isin(list(missing))), missing)
+            held += [Segment(key, *ranges[k], count, f"segments/{key}.parquet", rows.columns) for k, (count, key) in new.items()]
+
+    def _write_segments(self, placed: DataFrame, found: dict[int, tuple[int, str]]) -> None:
+        """A folder of sorted files for each range, in one job; then each gets its name."""
+        part = f"segments/.{uuid.uuid4().hex}"
+        files = max(sum(count for count, _ in found.values()) // 5_000_000, min(len(found), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        order = ["_range", "block_number", "log_index"]
+        placed.repartitionByRange(files, *order).sortWithinPartitions(*order).write.partitionBy("_range").parquet(f"{self.shared}/{part}")
+        for k, (_, key) in found.items():
+            self.shared_files.move(f"{part}/_range={k}", f"segments/{key}.parquet")
+        self.shared_files.delete(part)
+
     def seal_and_prune(self, ceiling: int, names: dict[str, list[str]], size: int | None = None) -> State:
         """Hot rows up to the ceiling become segments; then they leave the hot side and the watermark moves, in one commit.
 
@@ -179,9 +215,7 @@ class Store:
             if not ends:
                 return state
             ranges, ceiling = list(zip([first, *(e + 1 for e in ends)], ends)), ends[-1]
-        for a, b in ranges:
-            self.seal(self.spark, hot, a, b)
-        state = self.state()
+        self._add_segments(state, hot, ranges)
         for table, df in hot.items():
             state.hot[table] = self._rewrite(table, df.where(F.col("block_number") > ceiling))
         state.sealed_through = ceiling

@@ -133,6 +133,23 @@ def test_segments_dont_depend_on_when_sealing_ran(spark, tmp_path):
     assert len(cuts[0]) > 3 and cuts[0] == cuts[1]
 
 
+def test_many_ranges_are_sealed_in_as_many_jobs_as_few(spark, tmp_path):
+    blocks, jobs = list(range(1, 61)), {}
+    for size in (30, 2):
+        s = Store(spark, str(tmp_path / str(size)))
+        s.commit_window({"t": rows(spark, blocks)}, {}, 60, 0)
+        spark.sparkContext.setJobGroup(f"seal by {size}", "")
+        try:
+            s.seal_and_prune(60, T, size=size)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[size] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"seal by {size}"))
+        assert [(x.to_block, x.rows) for x in s.segments("t")] == [(b, size) for b in range(size, 61, size)]
+        assert s.damaged() == [] and blocks_of(s.view("t", NAMES)) == blocks and s.hot("t", NAMES).count() == 0
+    assert 0 < jobs[2] <= jobs[30]
+    assert s.segments("t")[0].hash == rows_hash(rows(spark, [1, 2]).select(*NAMES))
+
+
 def test_stream_end_to_end(spark, tmp_path):
     import json
 
