@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: About so many points and ranges meet in a tile of an interval join, and so many tiles are one task's.
+TILE, TASK_TILES = 4096, 16
+
 
 def using(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Inner join of two event tables by block or transaction; columns that clash are the left's."""
@@ -55,7 +58,28 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: li
 
 
 def interval(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
-    """Points with the ranges [low, high] that hold them: ranges are dealt to the buckets they touch, so that the join is by equality."""
+    """Points with the ranges [low, high] that hold them: ranges are dealt to the buckets they touch, so that the join is by equality.
+
+    A bucket in which many points meet many ranges is cut into tiles: a point is in all tiles of one row, a range in
+    all of one column, so each pair still meets once, and no task has a whole bucket.
+    """
     p = points.withColumn("_bucket", F.floor(F.col(at) / F.lit(width)))
     r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / F.lit(width)), F.floor(F.col(high) / F.lit(width)))))
-    return p.join(r, "_bucket").where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
+    keys = ["_bucket"]
+    counts = p.groupBy("_bucket").agg(F.count("*").alias("_points")).join(r.groupBy("_bucket").agg(F.count("*").alias("_ranges")), "_bucket")
+    # Each of these buckets stands for millions of pairs, so there are few.
+    hot = counts.where(F.col("_points").cast("double") * F.col("_ranges") > TILE * TILE).select("_bucket", F.ceil(F.col("_points") / TILE).alias("_rows"), F.ceil(F.col("_ranges") / TILE).alias("_columns")).collect()
+    if hot:
+        spark = points.sparkSession
+        keys = ["_bucket", "_row", "_column"]
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(h["_rows"] * h["_columns"] for h in hot) // TASK_TILES))
+        cut = F.broadcast(spark.createDataFrame([tuple(h) for h in hot], "_bucket long, _rows long, _columns long"))
+        p, r = (_tiled(df, cut, *sides).repartition(tasks, *keys) for df, *sides in ((p, "_row", "_rows", "_column", "_columns"), (r, "_column", "_columns", "_row", "_rows")))
+    return p.join(r, keys).where(F.col(at).between(F.col(low), F.col(high))).drop(*keys)
+
+
+def _tiled(df: DataFrame, cut: DataFrame, own: str, most: str, other: str, others: str) -> DataFrame:
+    """Each row with its own row or column of tiles, once for each tile of it. The place follows from the row's values, so a task that runs again gives the same."""
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"))
+    both = df.join(cut, "_bucket", "left").withColumn(own, F.pmod(hashed, F.coalesce(most, F.lit(1))))
+    return both.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(others, F.lit(1)) - 1))).drop(most, others)
