@@ -21,6 +21,8 @@ from ledgerloom.functions.columns import IMPLICIT, conform, empty_table, with_bi
 
 MOST_HOT_ROWS = 2_000_000
 SEAL_ROWS = 20_000
+#: Most rows that a file of a segment has, about, and the fewest that are worth a task of their own.
+FILE_ROWS, TASK_ROWS = 5_000_000, 1_000_000
 
 
 class HotScanTooLarge(RuntimeError):
@@ -187,7 +189,8 @@ class Store:
     def _write_segments(self, placed: DataFrame, found: dict[int, tuple[int, str]]) -> None:
         """A folder of sorted files for each range, in one job; then each gets its name."""
         part = f"segments/.{uuid.uuid4().hex}"
-        files = max(sum(count for count, _ in found.values()) // 5_000_000, min(len(found), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        rows = sum(count for count, _ in found.values())
+        files = max(rows // FILE_ROWS, min(max(len(found), rows // TASK_ROWS), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
         order = ["_range", "block_number", "log_index"]
         placed.repartitionByRange(files, *order).sortWithinPartitions(*order).write.partitionBy("_range").parquet(f"{self.shared}/{part}")
         for k, (_, key) in found.items():

@@ -150,6 +150,26 @@ def test_many_ranges_are_sealed_in_as_many_jobs_as_few(spark, tmp_path):
     assert s.segments("t")[0].hash == rows_hash(rows(spark, [1, 2]).select(*NAMES))
 
 
+def test_a_large_table_goes_through_the_store(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources import store
+
+    monkeypatch.setattr(store, "TASK_ROWS", 25_000, raising=False)
+    names, last = ["block_number", "log_index", "value"], 100_000 + store.MOST_HOT_ROWS
+    table = spark.range(1, last + 1).select(F.col("id").alias("block_number"), (F.col("id") % 3).alias("log_index"), F.col("id").cast("string").alias("value"))
+    s = Store(spark, str(tmp_path))
+    s.commit_window({"t": table}, {last: "a"}, last, 0)
+    s.rollback(last - 10, {"t": names})
+    s.commit_window({"t": table.where(F.col("block_number") > last - 10)}, {last: "b"}, last, 1)
+    s.seal_and_prune(99_999, {"t": names})
+    view = s.view("t", names, ["value"])
+    # More rows stay hot than callers may read; a job reads them all.
+    assert s.hot("t", names).count() == store.MOST_HOT_ROWS + 1
+    assert tuple(view.agg(F.count("*"), F.sum("value_dec"), F.countDistinct("block_number")).first()) == (last, last * (last + 1) // 2, last)
+    (sealed,) = s.segments("t")
+    files = spark.read.parquet(f"{tmp_path}/{sealed.file}").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()
+    assert len(files) == 3 and sum(f["n"] for f in files) == sealed.rows == 99_999 and s.damaged() == []
+
+
 def test_stream_end_to_end(spark, tmp_path):
     import json
 
